@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language_id, license_scan, mixing, token_output, toxicity, vector_search
+from . import audio_features, jaccard_join, language_id, license_scan, mixing, secret_scan, token_output, toxicity, vector_search
 
 
 def queries() -> dict:
@@ -10,9 +10,12 @@ def queries() -> dict:
         "op1_token_output": token_output.query,
         "op2_language_id": language_id.query,
         "op3_toxicity": toxicity.query,
+        "op4_audio_features": audio_features.query,
         "op5_license_scan": license_scan.query,
         "op6_mixing": mixing.query,
+        "op8_secret_scan": secret_scan.query,
         "op9_vector_search": vector_search.query,
+        "op10_jaccard_join": jaccard_join.query,
     }
 
 
