@@ -14,8 +14,9 @@ matched by one-deletion neighbourhoods, and only then empty segments are.
 
 Candidates of a key become links only after both texts are read again and
 compared exactly.  Copies are one class; within a key each set is first
-compared with one hub, then with another, and only pairs that still lie in
-different components are compared one by one.  So near copies don't multiply
+compared with a hub (while that many pairs remain that it pays), then all pairs
+that still lie in different components are compared one by one.  Parity
+sketches first drop pairs that provably differ too much.  So near copies don't multiply
 and no link between components is lost.
 
 Defined cases: null, empty and blank texts have no shingles and stand alone;
@@ -41,6 +42,10 @@ WORDS = 4
 PERCENT = 85
 #: Ids sent to every executor at once, at most; beyond that they are joined by shuffle.
 BROADCAST_IDS = 1_000_000
+#: Bits of a set's parity sketch; shingles gathered before they are signed.
+SKETCH, HELD = 2048, 1_500_000
+#: Rounds of stars through the least, then the greatest, id of a key, at most.
+STARS = 2
 
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 _BASE = 0x5851F42D4C957F2D
@@ -155,82 +160,101 @@ def _keys(number: int, segment: np.ndarray, size: np.ndarray, total: np.ndarray,
     return mixed(total * np.uint64(_ODD[2]) + mixed(segment.astype(np.uint64) * np.uint64(_ODD[3]) + size.astype(np.uint64) + tag))
 
 
-def segmented(s: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Segment of each element, elements per segment, sum of their marks."""
-    at = ((s >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
-    sizes = np.bincount(at, minlength=m)
-    marks = mixed(s ^ np.uint64(_ODD[0]))
-    total = np.zeros(m, dtype=np.uint64)
-    first = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1])
-    total[at[first]] = np.add.reduceat(marks, first)
-    return marks[at == 0], sizes, total
-
-
-def allocation(sizes: np.ndarray, need: int) -> tuple[np.ndarray, bool]:
-    """Segments probed as a whole, and whether segment 0 gets deletions too."""
-    order = np.argsort(-sizes, kind="stable")  # the most selective first
-    full = int((sizes > 0).sum())
-    if full >= need:
-        return order[:need], False
-    if sizes[0] > 0:
-        return order[: max(full, need - 1)], True
-    return order[:need], False
-
-
-def signatures(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and roles (1 indexed, 2 probes, 3 both) of a set."""
-    n = len(s)
-    number, high, m = band(n)
-    keys, roles = [], []
-    for own, (number, high, m) in ((True, (number, high, m)), *(((False, below),) if (below := band_below(n)) and 100 * below[1] >= PERCENT * n else ())):
-        marks, sizes, total = segmented(s, m)
-        chosen, spare = allocation(sizes, difference(n + min(n, high)) + 1)
-        whole = _keys(number, np.arange(m), sizes, total)
-        role = np.zeros(m, dtype=np.int8)
-        role[chosen] = 2
-        if own:
-            role += 1
-        keys.append(whole[role > 0])
-        roles.append(role[role > 0])
-        zero, one = np.zeros(len(marks), dtype=np.int64), np.full(len(marks), sizes[0] - 1)
-        if own:  # what others may find after one deletion
-            keys.append(_keys(number, zero, one, total[0] - marks, True))
-            roles.append(np.full(len(marks), 1, dtype=np.int8))
-        if spare:
-            keys += [_keys(number, zero[:1], sizes[:1], total[:1], True), _keys(number, zero, one, total[0] - marks)]
-            roles += [np.full(1, 2, dtype=np.int8), np.full(len(marks), 2, dtype=np.int8)]
-    return np.concatenate(keys), np.concatenate(roles)
+def allocation(sizes: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows of segment sizes: which segments are probed as a whole, and in
+    which rows segment 0 gets one-deletion neighbourhoods too.
+
+    The largest (most selective) segments are taken first.
+    """
+    rank = np.empty_like(sizes)
+    np.put_along_axis(rank, np.argsort(-sizes, axis=1, kind="stable"), np.arange(sizes.shape[1])[None, :], axis=1)
+    full = (sizes > 0).sum(axis=1)
+    spare = (full < need) & (sizes[:, 0] > 0)
+    return rank < np.where(spare, np.maximum(full, need - 1), need)[:, None], spare
+
+
+def signatures(sets: list[np.ndarray], number: int, high: int, m: int, own: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Set, key and role (1 indexed, 2 probes, 3 both) of what sets sign in one
+    band: their own, or (probing alone) the one below."""
+    lengths = np.array([len(s) for s in sets])
+    every, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), lengths)
+    at = ((every >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
+    cell = row * m + at  # ascending, as the hashes are sorted
+    sizes = np.bincount(cell, minlength=len(sets) * m)
+    marks = mixed(every ^ np.uint64(_ODD[0]))
+    total = np.zeros(len(sets) * m, dtype=np.uint64)
+    first = np.concatenate([[0], np.flatnonzero(np.diff(cell)) + 1])
+    total[cell[first]] = np.add.reduceat(marks, first)
+    chosen, spare = allocation(sizes.reshape(-1, m), np.array([difference(n + min(n, high)) for n in lengths.tolist()]) + 1)
+    role = chosen.ravel().astype(np.int8) * 2 + np.int8(own)
+    signed = np.flatnonzero(role)
+    out = [(signed // m, _keys(number, signed % m, sizes[signed], total[signed]), role[signed])]
+    # segment 0 without one element each
+    less = np.flatnonzero(at == 0)
+    rows = row[less]
+    zero, one, without = np.zeros(len(less), dtype=np.int64), sizes[rows * m] - 1, total[rows * m] - marks[less]
+    if own:
+        out.append((rows, _keys(number, zero, one, without, True), np.full(len(less), 1, dtype=np.int8)))
+    if spare.any():
+        mine, probing = np.flatnonzero(spare), spare[rows]
+        out.append((mine, _keys(number, np.zeros(len(mine), dtype=np.int64), sizes[mine * m], total[mine * m], True), np.full(len(mine), 2, dtype=np.int8)))
+        out.append((rows[probing], _keys(number, zero[probing], one[probing], without[probing]), np.full(int(probing.sum()), 2, dtype=np.int8)))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def digest(s: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set."""
+    return int(s.sum(dtype=np.uint64)), int(mixed(s ^ np.uint64(_ODD[1])).sum(dtype=np.uint64))
+
+
+def parity(s: np.ndarray) -> bytes:
+    """For each of SKETCH hash classes, whether it holds an odd number of
+    elements: two sketches differ in no more bits than the sets in elements."""
+    return np.packbits(np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint8) & 1).tobytes()
 
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    signed = lambda v: pa.array(np.array(v, dtype=np.uint64).view(np.int64))
     for batch in batches:
-        for part in common.pieces(batch, "text"):
+        for part in common.pieces(batch, "text", 1 << 20):
             sets = shingle_sets(common.texts_of(part))
-            one = [int(s.sum(dtype=np.uint64)) for s in sets]
-            two = [int(mixed(s ^ np.uint64(_ODD[1])).sum(dtype=np.uint64)) for s in sets]
-            signed = lambda v: pa.array(np.array(v, dtype=np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), signed(one), signed(two)], names=["doc_id", "n_shingles", "one", "two"])
+            marks = [digest(s) for s in sets]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), signed([a for a, _ in marks]), signed([b for _, b in marks]), pa.array([parity(s) for s in sets], pa.binary())], names=["doc_id", "n_shingles", "one", "two", "sketch"])
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: set[tuple[int, int, int]] = set()  # copies within a task sign once
+    docs: list[int] = []
+    sets: list[np.ndarray] = []
+    held = 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        nonlocal docs, sets, held
+        groups: dict[tuple, list[int]] = {}
+        for i, s in enumerate(sets):
+            groups.setdefault((*band(len(s)), True), []).append(i)
+            below = band_below(len(s))
+            if below and 100 * below[1] >= PERCENT * len(s):
+                groups.setdefault((*below, False), []).append(i)
+        ids, n = np.array(docs, dtype=np.int64), np.array([len(s) for s in sets], dtype=np.int32)
+        for group, members in groups.items():
+            row, key, role = signatures([sets[i] for i in members], *group)
+            own = np.array(members)[row]
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[own]), pa.array(n[own]), pa.array(role)], names=["key", "id", "n", "role"])
+        docs, sets, held = [], [], 0
+
     for batch in batches:
         for part in common.pieces(batch, "text", 1 << 20):
-            keys, ids, sizes, roles = [], [], [], []
             for doc, s in zip(part.column("doc_id").to_pylist(), shingle_sets(common.texts_of(part))):
-                if doc is None or not len(s):
-                    continue
-                mark = (len(s), int(s.sum(dtype=np.uint64)), int(mixed(s ^ np.uint64(_ODD[1])).sum(dtype=np.uint64)))
-                if mark in seen:
+                if doc is None or not len(s) or (mark := (len(s), *digest(s))) in seen:
                     continue
                 seen.add(mark)
-                k, r = signatures(s)
-                keys.append(k)
-                roles.append(r)
-                ids.append(np.full(len(k), doc, dtype=np.int64))
-                sizes.append(np.full(len(k), len(s), dtype=np.int32))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(roles))], names=["key", "id", "n", "role"])
+                docs.append(doc)
+                sets.append(s)
+                held += len(s)
+            if held >= HELD:
+                yield from flush()
+    yield from flush()
 
 
 def only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
@@ -239,8 +263,27 @@ def only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids, "doc_id", how)
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def possible(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs that their sketches don't rule out: the sets differ in as many
+    elements as the sketches in bits, at least."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint64).reshape(batch.num_rows, -1) for c in ("sketch_a", "sketch_b"))
+            apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            total = batch.column("total").to_numpy()
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array((100 + PERCENT) * apart <= (100 - PERCENT) * total))
+
+    sketch = rows.select("doc_id", "n_shingles", "sketch").where("doc_id IS NOT NULL")
+    both = pairs.join(sketch.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sketch_a")), "a").join(sketch.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sketch_b")), "b")
+    return both.select("a", "b", (F.col("na") + F.col("nb")).alias("total"), "sketch_a", "sketch_b").mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose texts are linked."""
+    pairs = common.stored(possible(rows, pairs))
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     texts = only(docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL"), ids, "left_semi")
     texts = common.stored(texts)
@@ -279,7 +322,7 @@ def components(edges: DataFrame) -> DataFrame:
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs."""
     docs = docs.select("doc_id", "text")
-    rows = common.stored(docs.mapInArrow(_described, "doc_id bigint, n_shingles bigint, one bigint, two bigint"))
+    rows = common.stored(docs.mapInArrow(_described, "doc_id bigint, n_shingles bigint, one bigint, two bigint, sketch binary"))
     known = rows.where("doc_id IS NOT NULL AND n_shingles > 0")
     mark = ["n_shingles", "one", "two"]
     classes = common.stored(known.groupBy(*mark).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
@@ -299,19 +342,25 @@ def join(docs: DataFrame) -> DataFrame:
         stars = stars.where((F.col("h.label") != F.col("label")) & (100 * F.least("n", "h.n") >= PERCENT * F.greatest("n", "h.n")))
         return stars.groupBy(F.col("id").alias("a")).agg(F.min("h.id").alias("b"))
 
-    edges = repeated
-    groups = shared.withColumn("label", F.col("id"))
-    for hub in (F.min, F.max):
-        found = verified(docs, common.stored(star(groups, hub)))
+    def pairs_left(groups: DataFrame) -> int:
+        """An upper bound of the pairs across components within keys."""
+        of_label = groups.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
+        of_key = of_label.groupBy("key").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("s"))
+        return of_key.agg(F.coalesce(F.sum((F.col("c") * F.col("c") - F.col("s")) / 2), F.lit(0.0))).first()[0]
+
+    edges, groups, n = repeated, shared.withColumn("label", F.col("id")), shared.count()
+    for hub in (F.min, F.max) * STARS:
+        if pairs_left(groups) <= 4 * n:
+            break
+        found = verified(docs, rows, star(groups, hub))
         edges = common.stored(edges.unionByName(found))
         labels = components(edges)
         labelled = shared.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-        groups = labelled.withColumn("low", F.min("label").over(by_key)).withColumn("high", F.max("label").over(by_key)).where("low != high").drop("low", "high")
-        groups = common.stored(groups)
+        groups = common.stored(labelled.withColumn("low", F.min("label").over(by_key)).withColumn("high", F.max("label").over(by_key)).where("low != high").drop("low", "high"))
     probing = groups.where("role >= 2").select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
     indexed = groups.where("role % 2 = 1").select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
     rest = probing.join(indexed, "key").where(f"la != lb AND nb <= na AND 100 * nb >= {PERCENT} * na").select("a", "b").distinct()
-    edges = edges.unionByName(verified(docs, common.stored(rest)))
+    edges = common.stored(edges.unionByName(verified(docs, rows, rest)))
     # a set signs under any of its copies' ids: tie them to the class
     signers = edges.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     ties = known.join(signers, "doc_id", "left_semi").join(classes.where("copies > 1").select(*mark, "rep"), mark).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
