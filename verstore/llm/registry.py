@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audio_features, jaccard_join, language_id, license_scan, mixing, secret_scan, token_output, toxicity, vector_search
+from . import audio_features, jaccard_join, language_id, license_scan, mixing, secret_scan, sentence_pieces, token_output, toxicity, vector_search
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_audio_features": audio_features.query,
         "op5_license_scan": license_scan.query,
         "op6_mixing": mixing.query,
+        "op7_sentence_pieces": sentence_pieces.query,
         "op8_secret_scan": secret_scan.query,
         "op9_vector_search": vector_search.query,
         "op10_jaccard_join": jaccard_join.query,

@@ -233,5 +233,23 @@ def scan(docs: DataFrame, model: CharCNN | None = None) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def masked(docs: DataFrame, model: CharCNN | None = None) -> DataFrame:
+    """docs with each found span of text replaced by as many asterisks."""
+    found = scan(docs, model)
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in common.pieces(batch, "text"):
+                texts = part.column("text").to_pylist()
+                for i, spans in enumerate(part.column("spans").to_pylist()):
+                    for span in spans.split(",") if spans else ():
+                        a, b = map(int, span.split(":")[1:])
+                        texts[i] = texts[i][:a] + "*" * (b - a) + texts[i][b:]
+                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else part.column(c) for c in names], names=names)
+
+    return found.select(*names, "spans").mapInArrow(run, docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(common.table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
