@@ -19,7 +19,7 @@ ORACLE_SQL = None  # trained models and a schedule: tested against brute force
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the classifier rejects; clean ones all stay."""
     model = toxicity.train(docs, common.table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+    return toxicity.score(docs, model, ("_toxic_score", "_toxic")).where("_toxic = 0").select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,13 +30,13 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Blanks out every secret found (by asterisks: lengths stay)."""
-    return secret_scan.masked(docs).select(*docs.columns)
+    return secret_scan.masked(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, ordered by their slot in the schedule."""
-    scheduled = mixing.schedule(docs)
-    return scheduled.repartitionByRange("slot", "place").sortWithinPartitions("slot", "place").select(*docs.columns)
+    scheduled = mixing.schedule(docs, into=("_block", "_slot", "_place"))
+    return scheduled.repartitionByRange("_slot", "_place").sortWithinPartitions("_slot", "_place").select(*docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -101,8 +101,10 @@ def phases(blocks: dict, weights: dict, period: int = PERIOD) -> list[tuple]:
     return out
 
 
-def schedule(docs: DataFrame, weights: dict | None = None, block: int = BLOCK) -> DataFrame:
-    """docs with block (in its source), slot and place in the slot."""
+def schedule(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, into: tuple[str, str, str] = ("block", "slot", "place")) -> DataFrame:
+    """docs with block (in its source), slot and place in the slot, in columns
+    that replace any of the same names."""
+    docs = docs.drop(*into)
     spark = docs.sparkSession
     sizes = {r[0]: r[1] for r in docs.groupBy("source").count().collect()}  # one row per source
     total = sum(sizes.values())
@@ -118,13 +120,13 @@ def schedule(docs: DataFrame, weights: dict | None = None, block: int = BLOCK) -
     before = before.select("_k", "_r", (F.sum("_n").over(Window.partitionBy("_k").orderBy("_r")) - F.col("_n")).alias("_before"))
     inside = Window.partitionBy("_k", "_r").orderBy("_h", "doc_id", *(c for c in ("text",) if c in docs.columns))
     rows = rows.withColumn("_i", F.row_number().over(inside) - 1).join(before, ["_k", "_r"]).withColumn("_at", F.col("_before") + F.col("_i"))
-    rows = rows.withColumn("block", F.expr(f"_at div {block}")).withColumn("place", F.col("_at") % block)
-    table = spark.createDataFrame(plan, "p_source string, p_first bigint, p_n bigint, p_slot bigint, p_period bigint, p_each bigint, p_at array<bigint>")
+    rows = rows.withColumn("_blk", F.expr(f"_at div {block}")).withColumn("_plc", F.col("_at") % block)
+    table = spark.createDataFrame(plan, "_p_source string, _p_first bigint, _p_n bigint, _p_slot bigint, _p_period bigint, _p_each bigint, _p_at array<bigint>")
     # bounded by sources x sources (phases) and PERIOD slots, never by rows
-    rows = rows.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("p_source")) & (F.col("block") >= F.col("p_first")) & (F.col("block") < F.col("p_first") + F.col("p_n")))
-    k = F.col("block") - F.col("p_first")
-    slot = F.col("p_slot") + F.floor(k / F.col("p_each")) * F.col("p_period") + F.element_at("p_at", (k % F.col("p_each") + 1).cast("int"))
-    return rows.select(*docs.columns, "block", slot.cast("bigint").alias("slot"), F.col("place").cast("int").alias("place"))
+    rows = rows.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("_p_source")) & (F.col("_blk") >= F.col("_p_first")) & (F.col("_blk") < F.col("_p_first") + F.col("_p_n")))
+    k = F.col("_blk") - F.col("_p_first")
+    slot = F.col("_p_slot") + F.floor(k / F.col("_p_each")) * F.col("_p_period") + F.element_at("_p_at", (k % F.col("_p_each") + 1).cast("int"))
+    return rows.select(*docs.columns, F.col("_blk").alias(into[0]), slot.cast("bigint").alias(into[1]), F.col("_plc").cast("int").alias(into[2]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -203,31 +203,39 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
+def found(texts: list[str], model: CharCNN) -> tuple[list, list]:
+    """The rules' spans and all spans (start, kind, end) of each text."""
+    base = [rule_spans(t) for t in texts]
+    free, seen = [], []
+    for i, t in enumerate(texts):
+        own = [s for s in candidates(t) if all(s[1] <= a or b <= s[0] for a, _, b in base[i])]
+        free += [(i, s) for s in own]
+        if own:
+            seen.append(windows(t, own))
+    every = [list(b) for b in base]
+    if seen:
+        for (i, (a, b)), p in zip(free, model.probability(np.concatenate(seen))):
+            if p >= model.threshold:
+                every[i].append((a, 3, b))
+    return base, [sorted(e) for e in every]
+
+
+OUT = ("n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
 def scan(docs: DataFrame, model: CharCNN | None = None) -> DataFrame:
-    """docs with n_assign, n_access, n_hex, base_sha256 and spans."""
-    model, names = model or train(), docs.columns
+    """docs with n_assign, n_access, n_hex, base_sha256 and spans, which
+    replace columns of the same names."""
+    model, docs = model or train(), docs.drop(*OUT)
+    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in common.pieces(batch, "text"):
-                texts = common.texts_of(part)
-                base = [rule_spans(t) for t in texts]
-                free, seen = [], []
-                for i, t in enumerate(texts):
-                    own = [s for s in candidates(t) if all(s[1] <= a or b <= s[0] for a, _, b in base[i])]
-                    free += [(i, s) for s in own]
-                    if own:
-                        seen.append(windows(t, own))
-                every = [list(b) for b in base]
-                if seen:
-                    for (i, (a, b)), p in zip(free, model.probability(np.concatenate(seen))):
-                        if p >= model.threshold:
-                            every[i].append((a, 3, b))
-                found = [[sum(k == kind for _, k, _ in b) for b in base] for kind in range(3)]
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in names), *(pa.array(f, pa.int64()) for f in found), pa.array([hashlib.sha256(joined(b).encode()).hexdigest() for b in base]), pa.array([joined(sorted(e)) for e in every])],
-                    names=[*names, "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
-                )
+                base, every = found(common.texts_of(part), model)
+                counts = [pa.array([sum(k == kind for _, k, _ in b) for b in base], pa.int64()) for kind in range(3)]
+                digests = pa.array([hashlib.sha256(joined(b).encode()).hexdigest() for b in base])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *counts, digests, pa.array([joined(e) for e in every])], names=[*names, *OUT])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), "n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string"])
     return docs.mapInArrow(run, schema)
@@ -235,20 +243,18 @@ def scan(docs: DataFrame, model: CharCNN | None = None) -> DataFrame:
 
 def masked(docs: DataFrame, model: CharCNN | None = None) -> DataFrame:
     """docs with each found span of text replaced by as many asterisks."""
-    found = scan(docs, model)
-    names = docs.columns
+    model, names = model or train(), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in common.pieces(batch, "text"):
                 texts = part.column("text").to_pylist()
-                for i, spans in enumerate(part.column("spans").to_pylist()):
-                    for span in spans.split(",") if spans else ():
-                        a, b = map(int, span.split(":")[1:])
+                for i, spans in enumerate(found([t or "" for t in texts], model)[1]):
+                    for a, _, b in spans:
                         texts[i] = texts[i][:a] + "*" * (b - a) + texts[i][b:]
                 yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else part.column(c) for c in names], names=names)
 
-    return found.select(*names, "spans").mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

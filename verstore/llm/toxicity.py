@@ -151,9 +151,11 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, f
     return fit(y[order], [own[i] for i in order], [twins[i] for i in order], share)
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataFrame:
-    """docs with ``score`` and ``predicted``; reads text alone of its columns."""
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], into: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """docs with the score and the prediction, in columns that replace any of
+    the same names; reads text alone of its columns."""
     chosen, weights, intercept = model
+    docs = docs.drop(*into)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,10 +173,10 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataF
             for part in common.pieces(batch, "text"):
                 # sorted by value: equal texts get equal sums in any process
                 sums = np.array([intercept + sum(sorted(map(weigh, set(WORDS(t.lower()))))) for t in common.texts_of(part)], dtype=np.float64)
-                p = 1 / (1 + np.exp(-np.clip(sums, -500, 500)))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], names=[*names, "score", "predicted"])
+                p = np.where(np.isfinite(sums), 1 / (1 + np.exp(-np.clip(sums, -500, 500))), 0.0)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], names=[*names, *into])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), "score double, predicted int"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), f"`{into[0]}` double, `{into[1]}` int"])
     return docs.mapInArrow(run, schema)
 
 
