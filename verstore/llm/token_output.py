@@ -30,15 +30,17 @@ END_ID = 2
 #: Ids per block, at least (a document is never cut), and between checkpoints.
 BLOCK_IDS, CHECKPOINT = 1 << 18, 128
 #: Words whose ids a worker keeps; it starts anew beyond that.
-CACHED = 300_000
+CACHED = 500_000
 
 
 class ChunkIds(dict):
     """Ids (as bytes) of text chunks without spaces and line feeds.
 
     No token of this tokenizer crosses white space and no piece of it depends
-    on text beyond, so a chunk's ids are the same in every text.  Letters-only
-    chunks are looked up in lower case without a closing point or comma.
+    on text beyond, so a chunk's ids are the same in every text.  Where the
+    tokenizer is seen to lower its input and to take runs of letters, digits
+    and marks apart, chunks are made of such runs, whose ids the library's
+    model gives; all others go through the whole of the library's encoder.
     """
 
     def __init__(self, path: str, dtype: str):
@@ -46,35 +48,40 @@ class ChunkIds(dict):
 
         super().__init__()
         self.tokenizer, self.dtype, self.words = Tokenizer.from_file(path), dtype, {}
-        self.plain = re.compile(r"[a-z]+").fullmatch
-        self.marks = {m: self.encode(m) for m in ".,"}
-        self.lower = "abc" == self.tokenizer.normalizer.normalize_str("ABC") if self.tokenizer.normalizer else False
-        self.fast = self.lower and self.encode("abcq") == self.model("abcq") and self.encode("the.") == self.encode("the") + self.marks["."]
+        self.runs = re.compile("[a-z]+|[0-9]|[^a-z0-9]+").findall
+        # the byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        hidden = iter(range(256, 512))
+        self.alphabet = {b: b if b in shown else next(hidden) for b in range(256)}
+        samples = ("abcq", "the.", "12ab$$x", "éàüßq", "Ñandú", "ªº", "x,y.", "ABC")
+        self.specials = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.fast = all(self.encode(s) == self.encode(s.lower()) == self.assembled(s.lower()) for s in samples)
         self[""] = b""
 
     def encode(self, chunk: str) -> bytes:
         return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
-    def model(self, word: str) -> bytes:
-        return np.array([t.id for t in self.tokenizer.model.tokenize(word)], dtype=self.dtype).tobytes()
-
-    def word(self, chunk: str) -> bytes:
-        ids = self.words.get(chunk)
+    def word(self, run: str) -> bytes:
+        """Ids of a run of letters, of marks, or of one digit (lower case, Latin-1)."""
+        ids = self.words.get(run)
         if ids is None:
             if len(self.words) >= CACHED:
                 self.words.clear()
-            ids = self.words[chunk] = self.model(chunk) if self.plain(chunk) else self.encode(chunk)
+            mapped = run if run.isascii() else run.encode().decode("latin-1").translate(self.alphabet)
+            ids = self.words[run] = np.array([t.id for t in self.tokenizer.model.tokenize(mapped)], dtype=self.dtype).tobytes()
         return ids
 
+    def assembled(self, chunk: str) -> bytes:
+        """Ids of a chunk in lower case from its runs, where these are plain."""
+        body = chunk[:-1] if chunk[-1] in ".," else chunk
+        if body.isalpha() and body.islower() and max(body) < "\u0100":
+            return self.word(body) if body is chunk else self.word(body) + self.word(chunk[-1])
+        if chunk.isascii() and chunk.isprintable() and "'" not in chunk:
+            return b"".join(map(self.word, self.runs(chunk)))
+        return self.encode(chunk)
+
     def __missing__(self, chunk: str) -> bytes:
-        if not self.fast:
-            ids = self.encode(chunk)
-        elif (body := chunk[:-1] if chunk[-1] in ".," else chunk).isalpha():
-            ids = self.word(body.lower() if body.isascii() else body)
-            if len(body) < len(chunk):
-                ids += self.marks[chunk[-1]]
-        else:
-            ids = self.encode(chunk)
+        ids = self.assembled(chunk) if self.fast else self.encode(chunk)
         if len(self) >= CACHED:
             self.clear()
             self[""] = b""
@@ -83,11 +90,22 @@ class ChunkIds(dict):
         return ids
 
 
-_known: dict[str, ChunkIds] = {}
+def token_bytes(chunks: ChunkIds, text: str) -> bytes:
+    parts = text.replace("\n", " ").split(" ")
+    if chunks.fast:
+        low = text.lower()
+        try:  # Latin-1 letters have one lower case and no other normal form
+            text.encode("latin-1")
+            plain = not any(s in low for s in chunks.specials)
+        except UnicodeEncodeError:
+            plain = False
+        if not plain:
+            return b"".join(chunks[c] if c.isascii() and c.lower() == c and not any(s in c for s in chunks.specials) else chunks.encode(c) for c in parts)
+        parts = low.replace("\n", " ").split(" ")
+    return b"".join(map(chunks.__getitem__, parts))
 
 
-def token_bytes(chunks: ChunkIds, text: str) -> bytes:
-    return b"".join(map(chunks.__getitem__, text.replace("\n", " ").split(" ")))
+_known: dict[str, ChunkIds] = {}
 
 
 def _tokenized(path: str, dtype: str, end_id: int | None):
