@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Documents per block; slots per period, at least; flattening of shares; rows per hash range.
-BLOCK, PERIOD, TEMPERATURE, RANGE_ROWS = 16, 1024, 0.5, 4096
+BLOCK, PERIOD, TEMPERATURE, RANGE_ROWS = 16, 1024, 0.5, 1024
 
 
 def quantised(weights: dict, period: int) -> dict:
