@@ -204,6 +204,17 @@ class Database:
                 if self._publish(m.next(last_commit_ts=ts, next_tx_id=m.next_tx_id + 1, files=(*m.files, *f))):
                     return ts
 
+    def import_commits(self, rows: DataFrame, commits: int) -> int:
+        """rows (key, value or NULL, n) as the n-th of so many new commits."""
+        if commits:
+            with self._lock:
+                while True:
+                    m = mf.latest(self.path)
+                    f = self._write(rows.select("key", "value", (F.col("n") + m.last_commit_ts).alias("commit_ts"), (F.col("n") + m.next_tx_id).alias("tx_id")), "log", 0)
+                    if self._publish(m.next(last_commit_ts=m.last_commit_ts + commits, next_tx_id=m.next_tx_id + commits, files=(*m.files, *f))):
+                        break
+        return commits
+
     def _publish(self, m: mf.Manifest) -> bool:
         if mf.publish(self.path, m):
             self.manifest = m
