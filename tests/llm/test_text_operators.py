@@ -1,6 +1,7 @@
 """Operators over documents: edge cases and brute force on small tables."""
 
 import hashlib
+import random
 import re
 import zlib
 
@@ -215,3 +216,20 @@ def test_jaccard(spark, docs, none):
     got = jaccard_join.join(docs).collect()
     assert len(got) == docs.count() and {r.component_id for r in got if r.doc_id in (5, 6)} == {5}
     assert jaccard_join.join(none).count() == 0
+
+
+def test_jaccard_crowded(spark, monkeypatch):
+    """Near copies of each other without a common one, keys compared in blocks."""
+    monkeypatch.setattr(jaccard_join, "CROWD", 3)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 4)
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(60):
+        words = list(base)
+        for k in rng.sample(range(120), rng.choice((1, 2, 3))):
+            words[k] = f"x{i}_{k}"
+        texts.append(" ".join(words))
+    rows = list(enumerate([*texts, *texts[:3]]))
+    got = jaccard_join.join(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == components_by_force(rows)

@@ -14,10 +14,11 @@ matched by one-deletion neighbourhoods, and only then empty segments are.
 
 Candidates of a key become links only after both texts are read again and
 compared exactly.  Copies are one class; within a key each set is first
-compared with a hub (while that many pairs remain that it pays), then all pairs
-that still lie in different components are compared one by one.  Parity
-sketches first drop pairs that provably differ too much.  So near copies don't multiply
-and no link between components is lost.
+compared with a hub, in rounds with other hubs while enough of these pairs are
+links, then all pairs that still lie in different components are compared.
+Parity sketches first drop pairs that provably differ too much; in crowded keys
+blocks of sketches are compared in place, so that only pairs that pass become
+rows.  So near copies don't multiply and no link between components is lost.
 
 Defined cases: null, empty and blank texts have no shingles and stand alone;
 rows with a null id have a null component and link nothing; rows that repeat
@@ -44,8 +45,11 @@ PERCENT = 85
 BROADCAST_IDS = 1_000_000
 #: Bits of a set's parity sketch; shingles gathered before they are signed.
 SKETCH, HELD = 2048, 1_500_000
-#: Rounds of stars through the least, then the greatest, id of a key, at most.
-STARS = 2
+#: Rounds of stars, at most; another one follows where this share of a round's
+#: pairs were links.
+STARS, YIELD = 6, 0.1
+#: Sets from which a key counts as crowded; sets per block of sketches there.
+CROWD, BLOCK = 100, 512
 
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 _BASE = 0x5851F42D4C957F2D
@@ -281,9 +285,45 @@ def possible(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.select("a", "b", (F.col("na") + F.col("nb")).alias("total"), "sketch_a", "sketch_b").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts are linked."""
-    pairs = common.stored(possible(rows, pairs))
+def crowded(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """The pairs within keys (of key, id, n, role, label, size) that sizes,
+    roles, labels and sketches don't rule out.
+
+    A key's sets are dealt into blocks and each pair of blocks is a group of its
+    own, compared in memory.
+    """
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    sketch = rows.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "sketch")
+    dealt = groups.withColumn("blocks", blocks).withColumn("at", F.pmod(F.xxhash64("id"), "blocks").cast("int")).join(sketch, "id")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    paired = dealt.withColumn("other", other).select("key", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "at", "id", "n", "role", "label", "sketch")
+
+    def run(table: pa.Table) -> pa.Table:
+        at, ids, n, role, label = (table.column(c).to_numpy() for c in ("at", "id", "n", "role", "label"))
+        n = n.astype(np.int64)
+        bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint64).reshape(len(ids), -1)
+        first, second = np.flatnonzero(at == at.min()), np.flatnonzero(at == at.max())
+        found_a, found_b = [], []
+        if table.column("i")[0].as_py() == table.column("j")[0].as_py() or at.min() != at.max():
+            for k in first.tolist():
+                y = second
+                y = y[(label[y] != label[k]) & (100 * np.minimum(n[y], n[k]) >= PERCENT * np.maximum(n[y], n[k]))]
+                y = y[(n[y] <= n[k]) & (role[k] >= 2) & (role[y] % 2 == 1) | (n[k] <= n[y]) & (role[y] >= 2) & (role[k] % 2 == 1)]
+                if not len(y):
+                    continue
+                apart = np.bitwise_count(bits[y] ^ bits[k]).sum(axis=1, dtype=np.int64)
+                y = y[(100 + PERCENT) * apart <= (100 - PERCENT) * (n[y] + n[k])]
+                found_a.append(np.minimum(ids[y], ids[k]))
+                found_b.append(np.maximum(ids[y], ids[k]))
+        none = [np.zeros(0, dtype=np.int64)]
+        return pa.table({"a": np.concatenate(found_a or none), "b": np.concatenate(found_b or none)}).group_by(["a", "b"]).aggregate([])
+
+    return paired.groupBy("key", "i", "j").applyInArrow(run, "a bigint, b bigint").distinct()
+
+
+def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b), those that sketches leave, whose texts are linked."""
+    pairs = common.stored(pairs)
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     texts = only(docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL"), ids, "left_semi")
     texts = common.stored(texts)
@@ -336,31 +376,30 @@ def join(docs: DataFrame) -> DataFrame:
     shared = signed.withColumn("c", F.count(F.lit(1)).over(by_key)).where("c > 1").drop("c")
     shared = common.stored(shared.where("id IS NOT NULL"))
 
-    def star(groups: DataFrame, hub) -> DataFrame:
+    def star(groups: DataFrame, turn: int) -> DataFrame:
         """Each set with one other of its key, of another component."""
-        stars = groups.withColumn("h", hub(F.struct("id", "n", "label")).over(by_key))
+        hub = F.min_by(F.struct("id", "n", "label"), F.xxhash64("id", F.lit(turn)))
+        stars = groups.withColumn("h", hub.over(by_key))
         stars = stars.where((F.col("h.label") != F.col("label")) & (100 * F.least("n", "h.n") >= PERCENT * F.greatest("n", "h.n")))
         return stars.groupBy(F.col("id").alias("a")).agg(F.min("h.id").alias("b"))
 
-    def pairs_left(groups: DataFrame) -> int:
-        """An upper bound of the pairs across components within keys."""
-        of_label = groups.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
-        of_key = of_label.groupBy("key").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("s"))
-        return of_key.agg(F.coalesce(F.sum((F.col("c") * F.col("c") - F.col("s")) / 2), F.lit(0.0))).first()[0]
-
-    edges, groups, n = repeated, shared.withColumn("label", F.col("id")), shared.count()
-    for hub in (F.min, F.max) * STARS:
-        if pairs_left(groups) <= 4 * n:
-            break
-        found = verified(docs, rows, star(groups, hub))
+    edges, groups = repeated, shared.withColumn("label", F.col("id"))
+    for turn in range(STARS):
+        tried = common.stored(star(groups, turn))
+        found = verified(docs, possible(rows, tried))
         edges = common.stored(edges.unionByName(found))
         labels = components(edges)
         labelled = shared.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-        groups = common.stored(labelled.withColumn("low", F.min("label").over(by_key)).withColumn("high", F.max("label").over(by_key)).where("low != high").drop("low", "high"))
-    probing = groups.where("role >= 2").select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-    indexed = groups.where("role % 2 = 1").select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
+        groups = labelled.withColumn("low", F.min("label").over(by_key)).withColumn("high", F.max("label").over(by_key)).withColumn("size", F.count(F.lit(1)).over(by_key))
+        groups = common.stored(groups.where("low != high").drop("low", "high"))
+        if found.count() <= YIELD * tried.count():
+            break
+    few = groups.where(F.col("size") <= CROWD)
+    probing = few.where("role >= 2").select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
+    indexed = few.where("role % 2 = 1").select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
     rest = probing.join(indexed, "key").where(f"la != lb AND nb <= na AND 100 * nb >= {PERCENT} * na").select("a", "b").distinct()
-    edges = common.stored(edges.unionByName(verified(docs, rows, rest)))
+    rest = possible(rows, rest).unionByName(crowded(rows, groups.where(F.col("size") > CROWD))).distinct()
+    edges = common.stored(edges.unionByName(verified(docs, rest)))
     # a set signs under any of its copies' ids: tie them to the class
     signers = edges.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     ties = known.join(signers, "doc_id", "left_semi").join(classes.where("copies > 1").select(*mark, "rep"), mark).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
