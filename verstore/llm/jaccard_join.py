@@ -14,8 +14,8 @@ matched by one-deletion neighbourhoods, and only then empty segments are.
 
 Candidates of a key become links only after both texts are read again and
 compared exactly.  Copies are one class; within a key each set is first
-compared with a hub, in rounds with other hubs while enough of these pairs are
-links, then all pairs that still lie in different components are compared.
+compared with a hub, then in crowded keys with the one whose sketch is nearest,
+then all pairs that still lie in different components are compared.
 Parity sketches first drop pairs that provably differ too much; in crowded keys
 blocks of sketches are compared in place, so that only pairs that pass become
 rows.  So near copies don't multiply and no link between components is lost.
@@ -45,11 +45,10 @@ PERCENT = 85
 BROADCAST_IDS = 1_000_000
 #: Bits of a set's parity sketch; shingles gathered before they are signed.
 SKETCH, HELD = 2048, 1_500_000
-#: Rounds of stars, at most; another one follows where this share of a round's
-#: pairs were links.
-STARS, YIELD = 6, 0.1
+#: Rounds of stars, then of nearest partners in crowded keys.
+STARS, NEAREST = 1, 1
 #: Sets from which a key counts as crowded; sets per block of sketches there.
-CROWD, BLOCK = 100, 512
+CROWD, BLOCK = 48, 4096
 
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 _BASE = 0x5851F42D4C957F2D
@@ -285,9 +284,9 @@ def possible(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.select("a", "b", (F.col("na") + F.col("nb")).alias("total"), "sketch_a", "sketch_b").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def crowded(rows: DataFrame, groups: DataFrame) -> DataFrame:
+def crowded(rows: DataFrame, groups: DataFrame, nearest: bool = False) -> DataFrame:
     """The pairs within keys (of key, id, n, role, label, size) that sizes,
-    roles, labels and sketches don't rule out.
+    roles, labels and sketches don't rule out; or of these each set's nearest.
 
     A key's sets are dealt into blocks and each pair of blocks is a group of its
     own, compared in memory.
@@ -312,7 +311,10 @@ def crowded(rows: DataFrame, groups: DataFrame) -> DataFrame:
                 if not len(y):
                     continue
                 apart = np.bitwise_count(bits[y] ^ bits[k]).sum(axis=1, dtype=np.int64)
-                y = y[(100 + PERCENT) * apart <= (100 - PERCENT) * (n[y] + n[k])]
+                near = (100 + PERCENT) * apart <= (100 - PERCENT) * (n[y] + n[k])
+                y, apart = y[near], apart[near]
+                if nearest and len(y):
+                    y = y[[np.argmin(apart)]]
                 found_a.append(np.minimum(ids[y], ids[k]))
                 found_b.append(np.maximum(ids[y], ids[k]))
         none = [np.zeros(0, dtype=np.int64)]
@@ -384,16 +386,14 @@ def join(docs: DataFrame) -> DataFrame:
         return stars.groupBy(F.col("id").alias("a")).agg(F.min("h.id").alias("b"))
 
     edges, groups = repeated, shared.withColumn("label", F.col("id"))
-    for turn in range(STARS):
-        tried = common.stored(star(groups, turn))
-        found = verified(docs, possible(rows, tried))
+    for turn in range(STARS + NEAREST):
+        tried = possible(rows, star(groups, turn)) if turn < STARS else crowded(rows, groups.where(F.col("size") > CROWD), True)
+        found = verified(docs, tried)
         edges = common.stored(edges.unionByName(found))
         labels = components(edges)
         labelled = shared.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
         groups = labelled.withColumn("low", F.min("label").over(by_key)).withColumn("high", F.max("label").over(by_key)).withColumn("size", F.count(F.lit(1)).over(by_key))
         groups = common.stored(groups.where("low != high").drop("low", "high"))
-        if found.count() <= YIELD * tried.count():
-            break
     few = groups.where(F.col("size") <= CROWD)
     probing = few.where("role >= 2").select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
     indexed = few.where("role % 2 = 1").select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
