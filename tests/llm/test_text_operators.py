@@ -184,6 +184,34 @@ def test_pieces(docs, none):
     assert sentence_pieces.encode(none, path).count() == 0
 
 
+def test_all_paths(spark):
+    """The query's rows give every path's ids, which spell the text at the path's score."""
+    lattice = sentence_pieces.Lattice(public_tokenizers.path("piece_bpe_32k.model"))
+    texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    got = sentence_pieces.query(spark, "/root/testdata/sf0.001").collect()
+    assert len(got) == len(texts)
+    for r in got:
+        paths = [sentence_pieces.path_ids(r.ids, c) for c in r.nbest_changes]
+        assert paths[0] == r.ids and len(set(map(tuple, paths))) == len(r.nbest_scores)
+        assert list(map(len, paths)) == r.nbest_pieces and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32
+        for ids, score in zip(paths, r.nbest_scores):
+            assert sentence_pieces.decode(lattice, np.array(ids)) == texts[r.doc_id]
+            # spelled characters score as a whole, which sums over ids can't show
+            if not set(ids) & set(lattice.bytes.values()):
+                assert abs(lattice.score[ids].sum() - score) < 1e-6 * max(1, abs(score))
+
+
+def test_paths_by_force(spark):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    lattice = sentence_pieces.Lattice(path)
+    texts = ["hi", "the  cat\nx", "aé一", "some unusual words"]
+    for r in sentence_pieces.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), path, with_ids=True).collect():
+        want = lattice.nbest("▁" + texts[r.doc_id].replace(" ", "▁"), 3)
+        got = [(s, sentence_pieces.path_ids(r.ids, c)) for s, c in zip(r.nbest_scores, r.nbest_changes)]
+        assert np.allclose([s for s, _ in got], [s for s, _ in want])
+        assert sorted(i for _, i in got) == sorted(i for _, i in want)
+
+
 def components_by_force(texts):
     sets = {i: jaccard_join.exact_set(t or "") for i, t in texts}
     label = {i: i for i in sets}

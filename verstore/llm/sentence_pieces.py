@@ -10,7 +10,8 @@ lattice falls apart into units at those places.  Forward and backward scores
 of all distinct units of a batch are computed at once, which also shows how
 far each unit's second path lies behind.  A text's N best paths differ from
 the best only in the N-1 units with the smallest such gaps; A-star runs on
-these, and their lists are combined.
+these, and their lists are combined.  All paths' ids are returned: the best
+path's in full, the others' as the stretches that they change in it.
 
 Decoding joins pieces, turns space marks into spaces and drops the first.
 
@@ -252,7 +253,8 @@ def keys_of(text: str) -> list[str]:
 
 def combined(lattice: Lattice, keys: list[str], n: int) -> tuple[bytes, list[tuple[float, int]], list]:
     """The best path's ids, the n best paths' (score, pieces) and, for each of
-    these, what it changes: pairs of a unit's number and its ids."""
+    these, what it changes: (place, cut, ids) for cut ids of the best path from
+    place on, which these ids replace."""
     if not keys:
         return b"", [(0.0, 0)], [()]
     ids, scores, gaps = zip(*map(lattice.found.__getitem__, keys))
@@ -277,7 +279,17 @@ def combined(lattice: Lattice, keys: list[str], n: int) -> tuple[bytes, list[tup
         lists.append([(s - scores[at], at, i) for s, i in paths])
     ways = sorted(itertools.product(*lists), key=lambda way: -sum(c[0] for c in way))[:n]
     paths = [(total + sum(c[0] for c in way), (len(best) + sum(len(c[2]) - len(ids[c[1]]) for c in way)) // wide) for way in ways]
-    return best, paths, [[(at, i) for _, at, i in way if i != ids[at]] for way in ways]
+    place = {at: sum(map(len, ids[:at])) // wide for at in near}
+    return best, paths, [[(place[at], len(ids[at]) // wide, i) for _, at, i in sorted(way, key=lambda c: c[1]) if i != ids[at]] for way in ways]
+
+
+def path_ids(ids: list[int], changes: list) -> list[int]:
+    """A path's ids: the best path's with the path's changes."""
+    out, at = [], 0
+    for place, cut, new in changes:
+        out += [*ids[at:place], *new]
+        at = place + cut
+    return out + list(ids[at:])
 
 
 def decode(lattice: Lattice, ids: np.ndarray) -> str:
@@ -288,34 +300,43 @@ def decode(lattice: Lattice, ids: np.ndarray) -> str:
 
 _known: dict[str, Lattice] = {}
 SCHEMA = "doc_id bigint, n_pieces bigint, ids_crc32 bigint, score double, nbest_scores array<double>, nbest_pieces array<bigint>, round_trip boolean"
+#: The best path's ids and each path's changes of them, as path_ids takes them.
+IDS = ", ids array<bigint>, nbest_changes array<array<struct<place: bigint, cut: bigint, ids: array<bigint>>>>"
 
 
 def encode(docs: DataFrame, path: str, best: int = BEST, with_ids: bool = False) -> DataFrame:
     """Each text's best paths: counts, scores and whether decoding restores it
-    (and the best path's ids)."""
+    (and the best path's ids, with what each of the paths changes in them)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = _known.get(path) or _known.setdefault(path, Lattice(path))
         gc.disable()  # the kept units are no garbage, and hold no cycles
-        names = [f.split(" ")[0] for f in SCHEMA.split(", ")] + ["ids"] * with_ids
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.bool_(), pa.list_(pa.int64())]
+        names = [f.split(" ")[0] for f in SCHEMA.split(", ")] + ["ids", "nbest_changes"] * with_ids
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.bool_()]
+        changed = pa.list_(pa.list_(pa.struct([("place", pa.int64()), ("cut", pa.int64()), ("ids", pa.list_(pa.int64()))])))
         for batch in batches:
             for part in common.pieces(batch, "text", 2 << 20):
                 texts = common.texts_of(part)
                 keys = [keys_of(t) for t in texts]
                 lattice.learn(set().union(*keys))
-                out = []
+                out, best_ids, changes = [], [], []
                 for doc, text, own in zip(part.column("doc_id").to_pylist(), texts, keys):
-                    raw, paths, _ = combined(lattice, own, best)
+                    raw, paths, ways = combined(lattice, own, best)
                     ids = np.frombuffer(raw, dtype=lattice.width)
-                    row = (doc, len(ids), zlib.crc32(ids.astype("<u4")), paths[0][0], [s for s, _ in paths], [k for _, k in paths], decode(lattice, ids) == text)
-                    out.append(row + (ids.tolist(),) * with_ids)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
+                    out.append((doc, len(ids), zlib.crc32(ids.astype("<u4")), paths[0][0], [s for s, _ in paths], [k for _, k in paths], decode(lattice, ids) == text))
+                    if with_ids:
+                        best_ids.append(ids)
+                        changes.append([[(place, cut, np.frombuffer(i, dtype=lattice.width).tolist()) for place, cut, i in way] for way in ways])
+                columns = [pa.array(c, t) for c, t in zip(zip(*out), types)]
+                if with_ids:
+                    cuts = np.cumsum([0, *map(len, best_ids)], dtype=np.int32)
+                    columns += [pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(best_ids).astype(np.int64))), pa.array(changes, changed)]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA + ", ids array<bigint>" * with_ids)
+    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA + IDS * with_ids)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return encode(common.table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return encode(common.table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=True)
