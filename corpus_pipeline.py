@@ -40,7 +40,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sentence_pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    """The encoding: the best path's ids and the other paths' changes of them."""
+    return sentence_pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), with_ids=True)
 
 
 STAGES = [("toxicity", toxic), ("jaccard_join", near_copies), ("secret_scan", secrets), ("mixing", mixed), ("sentence_pieces", encoded)]

@@ -1,0 +1,16 @@
+"""The corpus pipeline's stages and run() on small tables."""
+
+import numpy as np
+
+import corpus_pipeline
+import public_tokenizers
+from verstore.llm import sentence_pieces
+
+
+def test_encoding_is_kept(spark):
+    texts = [None, "", "The cat sat on the mat.", "é ß  x\n\nz"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    lattice = sentence_pieces.Lattice(public_tokenizers.path("piece_bpe_32k.model"))
+    for r in corpus_pipeline.encoded(spark, docs, "").collect():
+        assert sentence_pieces.decode(lattice, np.array(r.ids)) == (texts[r.doc_id] or "")
+        assert len(r.nbest_changes) == len(r.nbest_scores)
