@@ -5,10 +5,10 @@ block is released at slot floor((k-1)/w), due at slot ceil(k/w), and
 earliest-deadline-first gives every slot to a released block: after any t
 slots each source has had w*t blocks, off by less than one.
 
-Weights are rounded to multiples of 1/PERIOD, so the schedule repeats and only
-one period is simulated on the driver (sources x PERIOD, not rows).  When a
-source ends, the others' weights are scaled up and a new phase begins; so all
-rows are scheduled, each once.
+Weights are taken as exact fractions and never rounded, so the bound holds over
+a whole phase.  The driver takes one step per block (rows / BLOCK) and keeps 8
+bytes for each.  When a source ends, the others' weights are scaled up and a
+new phase begins; so all rows are scheduled, each once.
 
 A row's number within its source comes from its id's hash: counted by (source,
 hash range), summed up over ranges, then numbered within each range, so that a
@@ -23,20 +23,25 @@ an empty table gives no rows; other columns are kept.
 from __future__ import annotations
 
 import heapq
+from array import array
+from collections.abc import Iterator
 from fractions import Fraction
-from math import floor
+from itertools import islice
+from math import floor, lcm
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Documents per block; slots per period, at least; flattening of shares; rows per hash range.
-BLOCK, PERIOD, TEMPERATURE, RANGE_ROWS = 16, 1024, 0.5, 1024
+#: Documents per block; slots per period of whole-slot weights; flattening of shares; rows per hash range; blocks per row of the schedule.
+BLOCK, PERIOD, TEMPERATURE, RANGE_ROWS, CHUNK = 16, 1024, 0.5, 1024, 1024
 
 
 def quantised(weights: dict, period: int) -> dict:
-    """Slots of each source in a period (at least 1), by largest remainders."""
+    """Slots of each source in a period (at least 1), by largest remainders:
+    whole-slot weights for a schedule that repeats (``schedule`` has exact ones)."""
     period = max(period, 4 * len(weights))
     total = sum(weights.values())
     exact = {s: max(Fraction(1), Fraction(w) / Fraction(total) * period) for s, w in weights.items()}
@@ -53,51 +58,54 @@ def quantised(weights: dict, period: int) -> dict:
     return got
 
 
-def period_slots(counts: dict) -> list:
-    """The source of each slot of one period: EDF over released blocks."""
-    period = sum(counts.values())
-    release = lambda s, k: (k - 1) * period // counts[s]
-    due = lambda s, k: -(-k * period // counts[s])
-    waiting = [(0, due(s, 1), str(s), i, s, 1) for i, s in enumerate(counts)]
+def dealt(weights: dict) -> Iterator:
+    """The source of each slot, without end: EDF over released blocks, by whole
+    numbers as weights."""
+    total = sum(weights.values())
+    release = lambda s, k: (k - 1) * total // weights[s]
+    due = lambda s, k: -(-k * total // weights[s])
+    waiting = [(0, due(s, 1), str(s), i, s, 1) for i, s in enumerate(weights)]
     heapq.heapify(waiting)
     ready: list = []
-    out = []
-    for t in range(period):
+    t = 0
+    while True:
         while waiting and waiting[0][0] <= t:
             _, *rest = heapq.heappop(waiting)
             heapq.heappush(ready, tuple(rest))
-        d, name, i, s, k = heapq.heappop(ready)
-        out.append(s)
-        if k < counts[s]:
-            heapq.heappush(waiting, (release(s, k + 1), due(s, k + 1), name, i, s, k + 1))
-    return out
+        _, name, i, s, k = heapq.heappop(ready)
+        yield s
+        heapq.heappush(waiting, (release(s, k + 1), due(s, k + 1), name, i, s, k + 1))
+        t += 1
+
+
+def period_slots(counts: dict) -> list:
+    """The source of each slot of one period of whole-slot weights."""
+    return list(islice(dealt(counts), sum(counts.values())))
+
+
+def whole(weights: dict) -> dict:
+    """Whole numbers in exactly the weights' proportions."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    scale = lcm(*(x.denominator for x in exact.values()))
+    return {s: int(x * scale) for s, x in exact.items()}
 
 
-def phases(blocks: dict, weights: dict, period: int = PERIOD) -> list[tuple]:
-    """(source, first block, blocks, first slot, period, per period, slots of
-    the source in a period) for each phase and source.
+def block_slots(blocks: dict, weights: dict) -> dict:
+    """The slot of each block of each source, phase after phase.
 
     A phase ends at the slot where a source has had its last block.
     """
-    left, done, slot, out = {s: n for s, n in blocks.items() if n}, dict.fromkeys(blocks, 0), 0, []
+    left = {s: n for s, n in blocks.items() if n}
+    out = {s: array("q") for s in left}
+    slot = 0
     while left:
-        counts = quantised({s: weights[s] for s in left}, period)
-        order = period_slots(counts)
-        at: dict = {s: [] for s in left}
-        for t, s in enumerate(order):
-            at[s].append(t)
-        length = len(order)
-        end = min((left[s] - 1) // counts[s] * length + at[s][(left[s] - 1) % counts[s]] + 1 for s in left)
-        whole, rest = divmod(end, length)
-        for s in list(left):
-            n = whole * counts[s] + sum(t < rest for t in at[s])
-            if n:
-                out.append((s, done[s], n, slot, length, counts[s], at[s]))
-            done[s] += n
-            left[s] -= n
+        for s in dealt(whole({s: weights[s] for s in left})):
+            out[s].append(slot)
+            slot += 1
+            left[s] -= 1
             if not left[s]:
                 del left[s]
-        slot += end
+                break
     return out
 
 
@@ -112,7 +120,7 @@ def schedule(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, i
         weights = {s: (n / total) ** TEMPERATURE for s, n in sizes.items()}
     low = min([w for w in weights.values() if w > 0], default=1.0)
     weights = {s: weights.get(s) or low for s in sizes}
-    plan = phases({s: -(-n // block) for s, n in sizes.items()}, weights)
+    plan = block_slots({s: -(-n // block) for s, n in sizes.items()}, weights)
     ranges = max(1, -(-max(sizes.values(), default=1) // RANGE_ROWS))
     # one key for the window and the join, so that whole rows move once
     rows = docs.withColumn("_h", F.xxhash64("doc_id")).withColumn("_r", F.pmod(F.shiftrightunsigned("_h", 20), F.lit(ranges))).withColumn("_k", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("")))
@@ -121,11 +129,12 @@ def schedule(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, i
     inside = Window.partitionBy("_k", "_r").orderBy("_h", "doc_id", *(c for c in ("text",) if c in docs.columns))
     rows = rows.withColumn("_i", F.row_number().over(inside) - 1).join(before, ["_k", "_r"]).withColumn("_at", F.col("_before") + F.col("_i"))
     rows = rows.withColumn("_blk", F.expr(f"_at div {block}")).withColumn("_plc", F.col("_at") % block)
-    table = spark.createDataFrame(plan, "_p_source string, _p_first bigint, _p_n bigint, _p_slot bigint, _p_period bigint, _p_each bigint, _p_at array<bigint>")
-    # bounded by sources x sources (phases) and PERIOD slots, never by rows
-    rows = rows.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("_p_source")) & (F.col("_blk") >= F.col("_p_first")) & (F.col("_blk") < F.col("_p_first") + F.col("_p_n")))
-    k = F.col("_blk") - F.col("_p_first")
-    slot = F.col("_p_slot") + F.floor(k / F.col("_p_each")) * F.col("_p_period") + F.element_at("_p_at", (k % F.col("_p_each") + 1).cast("int"))
+    parts = [(s, c, at[c * CHUNK : (c + 1) * CHUNK]) for s, at in plan.items() for c in range(-(-len(at) // CHUNK))]
+    columns = [pa.array(x, t) for x, t in zip(zip(*parts) if parts else ([], [], []), (pa.string(), pa.int64(), pa.list_(pa.int64())))]
+    table = spark.createDataFrame(pa.Table.from_arrays(columns, names=["_p_source", "_p_chunk", "_p_at"]))
+    # 8 bytes per block of BLOCK rows
+    rows = rows.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("_p_source")) & (F.expr(f"_blk div {CHUNK}") == F.col("_p_chunk")))
+    slot = F.element_at("_p_at", (F.col("_blk") % CHUNK + 1).cast("int"))
     return rows.select(*docs.columns, F.col("_blk").alias(into[0]), slot.cast("bigint").alias(into[1]), F.col("_plc").cast("int").alias(into[2]))
 
 
