@@ -183,6 +183,18 @@ def test_secret_model():
     assert p[y == 1].mean() > 0.9 and p[y == 0].mean() < 0.05
 
 
+def test_secret_in_path():
+    """A key amid a long path is found at any place; long plain paths aren't."""
+    model, rng = secret_scan.train(), random.Random(21)
+    words = ["services", "team-name", "callback", "handler", "endpoint-name", "release", "storage_unit", "public"]
+    path = lambda n: "/".join(rng.choice(words) for _ in range(n))
+    key = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(40))
+    with_key = [f"see {path(rng.randint(2, 9))}/{key()}/{path(rng.randint(3, 9))} for more" for _ in range(200)]
+    without = [f"see {path(rng.randint(4, 9))}/v2/{path(rng.randint(4, 9))} for more" for _ in range(200)]
+    hits = [sum(any(k == 3 for _, k, _ in spans) for spans in secret_scan.found(t, model)[1]) for t in (with_key, without)]
+    assert hits[0] >= 190 and hits[1] <= 10, hits
+
+
 def test_pieces(docs, none):
     path = public_tokenizers.path("piece_bpe_32k.model")
     got = sentence_pieces.encode(docs, path, with_ids=True).collect()

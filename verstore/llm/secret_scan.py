@@ -4,7 +4,8 @@ Rules find assignments, access keys and hex strings; their spans all stay.  A
 further candidate is any unbroken run of 20 or more key characters with both
 letters and digits.  A small convolutional network (numpy) reads each
 candidate with CONTEXT characters on either side and adds those above its
-threshold as kind ``model``.
+threshold as kind ``model``.  Candidates longer than BODY are read in windows
+that overlap, STEP apart, and count by their likeliest window.
 
 The network is trained on labelled findings that ``labelled_findings`` makes
 from a seed (secrets and look-alikes in varied contexts), Platt-calibrated on
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import random
 import re
 from collections.abc import Iterator
@@ -37,7 +39,7 @@ HEX = re.compile(r"[0-9a-f]{32,}")  # the maximal runs, as the shorter ones fail
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 KINDS = ("assign", "access", "hex", "model")
 
-CONTEXT, BODY = 24, 48
+CONTEXT, BODY, STEP = 24, 48, 8
 WIDTH = 2 * CONTEXT + BODY
 CLASSES, FILTERS, SPAN = 12, 24, 5
 RECALL, SEED = 0.98, 5
@@ -71,19 +73,26 @@ def _class_table() -> np.ndarray:
 TABLE = _class_table()
 
 
+def slices(a: int, b: int) -> list[tuple[int, int]]:
+    """The bodies in which a candidate is read."""
+    if b - a <= BODY:
+        return [(a, b)]
+    return [(k, k + BODY) for k in (*range(a, b - BODY, STEP), b - BODY)]
+
+
 def windows(text: str, spans: list[tuple[int, int]]) -> np.ndarray:
-    """Class codes of context, body (its two ends if longer) and context."""
-    out = np.zeros((len(spans), WIDTH), dtype=np.int64)
+    """Class codes of context, body (of BODY characters at most) and context."""
+    out = np.zeros((len(spans), WIDTH), dtype=np.uint8)
     for row, (a, b) in zip(out, spans):
-        body = text[a:b] if b - a <= BODY else text[a : a + BODY // 2] + text[b - BODY // 2 : b]
-        for at, s in ((CONTEXT - min(a, CONTEXT), text[max(0, a - CONTEXT) : a]), (CONTEXT, body), (CONTEXT + BODY, text[b : b + CONTEXT])):
+        for at, s in ((CONTEXT - min(a, CONTEXT), text[max(0, a - CONTEXT) : a]), (CONTEXT, text[a:b]), (CONTEXT + BODY, text[b : b + CONTEXT])):
             codes = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
             row[at : at + len(codes)] = TABLE[np.minimum(codes, 127)]
     return out
 
 
 def labelled_findings(n: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-    """n windows and labels, half of them secrets."""
+    """n windows and labels, half of them secrets; of long bodies one window,
+    the one with most of the secret if it lies among other key characters."""
     rng = random.Random(seed)
     letters, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
     pick = lambda chars, a, b: "".join(rng.choice(chars) for _ in range(rng.randint(a, b)))
@@ -110,18 +119,30 @@ def labelled_findings(n: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]
             lambda: word() * 3 + "=" + pick(digits, 3, 12) + "_" * rng.randint(6, 14),
             lambda: pick("=-_", 18, 30) + word() + pick(digits, 1, 2),
             lambda: pick(digits, 16, 24) + rng.choice(("x", "kg", "th")),
+            lambda: path(6, 16) + rng.choice("/-_=") + pick(digits, 1, 4),
+            lambda: path(3, 8) + rng.choice("/-_=") + pick(digits, 1, 8) + rng.choice("/-_=") + path(3, 8),
         ))()
 
+    def path(a: int, b: int) -> str:
+        return "".join(word() + rng.choice("//-_=") for _ in range(rng.randint(a, b))) + word()
+
     x, y = [], []
     for i in range(n):
         label = i % 2
         body = secret() if label else plain()
         while len(body) < 20:
             body += secret() if label else word()
+        front, back = "", ""
+        if label and rng.random() < 0.3:
+            front, back = path(1, 6) + rng.choice("/="), rng.choice("/=") + path(1, 6)
         lead = rng.choice(("", " ", "key ", "auth: ", 'value = "', "credential=")) if rng.random() < 0.5 else " "
         before = " ".join(word() for _ in range(5)) + lead
         after = rng.choice(('"', " ", ",", "\n", ". ")) + " ".join(word() for _ in range(5))
-        x.append(windows(before + body + after, [(len(before), len(before) + len(body))]))
+        start = len(before) + len(front)
+        inside = lambda s: min(s[1], start + len(body)) - max(s[0], start)  # noqa: E731, B023
+        spans = slices(len(before), start + len(body) + len(back))
+        most = max(map(inside, spans))
+        x.append(windows(before + front + body + back + after, [rng.choice([s for s in spans if inside(s) == most])]))
         y.append(label)
     return np.concatenate(x), np.array(y, dtype=np.float64)
 
@@ -206,20 +227,24 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 def found(texts: list[str], model: CharCNN) -> tuple[list, list]:
     """The rules' spans and all spans (start, kind, end) of each text."""
     base = [rule_spans(t) for t in texts]
-    free, seen = [], []
-    for i, t in enumerate(texts):
-        own = [s for s in candidates(t) if all(s[1] <= a or b <= s[0] for a, _, b in base[i])]
-        free += [(i, s) for s in own]
-        if own:
-            seen.append(windows(t, own))
+    free = [(i, s) for i, t in enumerate(texts) for s in candidates(t) if all(s[1] <= a or b <= s[0] for a, _, b in base[i])]
     every = [list(b) for b in base]
-    if seen:
-        for (i, (a, b)), p in zip(free, model.probability(np.concatenate(seen))):
-            if p >= model.threshold:
-                every[i].append((a, 3, b))
+    for (i, (a, b)), p in zip(free, likeliest(texts, free, model)):
+        if p >= model.threshold:
+            every[i].append((a, 3, b))
     return base, [sorted(e) for e in every]
 
 
+def likeliest(texts: list[str], free: list[tuple[int, tuple[int, int]]], model: CharCNN, at_once: int = 4096) -> np.ndarray:
+    """The greatest probability over each candidate's windows."""
+    out = np.zeros(len(free))
+    read = ((n, i, s) for n, (i, span) in enumerate(free) for s in slices(*span))
+    for part in itertools.batched(read, at_once):
+        x = np.concatenate([windows(texts[i], [s for _, _, s in own]) for i, own in itertools.groupby(part, key=lambda r: r[1])])
+        np.maximum.at(out, [n for n, _, _ in part], model.probability(x))
+    return out
+
+
 OUT = ("n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
