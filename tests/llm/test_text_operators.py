@@ -195,6 +195,17 @@ def test_secret_in_path():
     assert hits[0] >= 190 and hits[1] <= 10, hits
 
 
+def test_secret_beyond_rule(spark):
+    """Keys of which a rule has a part only are found and masked as a whole."""
+    keys = ["Zk3pQ9xLw7RtB2mV" + "0123456789abcdef" * 2 + "Xy8TnJ4sGh6KdW1c", "AKIA" + "Q7ZK3XPL9WRT2BMV" + "tB2mVzXy8nJ4sGh6KdW1cqR"]
+    rows = [(i, f"look at {k} here") for i, k in enumerate(keys)] + [(2, "token=abcdefgh12345678abcd")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.spans.split(",") for r in secret_scan.scan(docs).collect()}
+    assert all(f"model:8:{8 + len(k)}" in got[i] and len(got[i]) == 2 for i, k in enumerate(keys))
+    assert got[2] == ["assign:0:26"]
+    assert {r.doc_id: r.text for r in secret_scan.masked(docs).collect()} == {i: t[:8] + "*" * len(keys[i]) + " here" if i < 2 else "*" * 26 for i, t in rows}
+
+
 def test_pieces(docs, none):
     path = public_tokenizers.path("piece_bpe_32k.model")
     got = sentence_pieces.encode(docs, path, with_ids=True).collect()

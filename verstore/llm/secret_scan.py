@@ -13,8 +13,9 @@ its own split, with the highest threshold that keeps RECALL of that split's
 secrets.
 
 Defined cases: null and empty texts have no spans (the digest of the empty
-string); null doc_ids and repeated rows are kept; candidates that touch a
-rule's span add nothing; an empty table gives no rows; other columns are kept
+string); null doc_ids and repeated rows are kept; candidates that lie wholly
+in rules' spans add nothing, others are read whole and may overlap rules'
+spans; an empty table gives no rows; other columns are kept
 by ``scan`` and ignored by the query.
 """
 
@@ -224,10 +225,19 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
+def covered(span: tuple[int, int], spans: list[tuple[int, int, int]]) -> bool:
+    """Whether the sorted spans hold all of span."""
+    at = span[0]
+    for a, _, b in spans:
+        if a <= at < b:
+            at = b
+    return at >= span[1]
+
+
 def found(texts: list[str], model: CharCNN) -> tuple[list, list]:
     """The rules' spans and all spans (start, kind, end) of each text."""
     base = [rule_spans(t) for t in texts]
-    free = [(i, s) for i, t in enumerate(texts) for s in candidates(t) if all(s[1] <= a or b <= s[0] for a, _, b in base[i])]
+    free = [(i, s) for i, t in enumerate(texts) for s in candidates(t) if not covered(s, base[i])]
     every = [list(b) for b in base]
     for (i, (a, b)), p in zip(free, likeliest(texts, free, model)):
         if p >= model.threshold:
