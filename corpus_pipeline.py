@@ -2,11 +2,14 @@
 
 Stages read what their predecessor wrote and return the columns of documents;
 the last returns the encoding.  Order of the mixing stage: rows are written in
-schedule order, range by range.
+schedule order, range by range, so that files by name and rows within them
+follow the schedule; the last stage turns both into the column position.
 """
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,9 +42,20 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scheduled.repartitionByRange("_slot", "_place").sortWithinPartitions("_slot", "_place").select(*docs.columns)
 
 
+def placed(docs: DataFrame) -> DataFrame:
+    """docs, as read from files, with position: each row's number over all files
+    by name, which Spark numbers by range."""
+    files = docs.groupBy(F.col("_metadata.file_name").alias("_file")).count().orderBy("_file").collect()  # one row per file
+    before = dict(zip([f["_file"] for f in files], accumulate((f["count"] for f in files), initial=0)))
+    starts = docs.sparkSession.createDataFrame(list(before.items()), "_file string, _start bigint")
+    rows = docs.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    return rows.join(F.broadcast(starts), "_file").select(*docs.columns, (F.col("_start") + F.col("_row")).alias("position"))
+
+
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The encoding: the best path's ids and the other paths' changes of them."""
-    return sentence_pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), with_ids=True)
+    """The encoding (the best path's ids and the other paths' changes of them)
+    and each document's position in the schedule."""
+    return sentence_pieces.encode(placed(docs), public_tokenizers.path("piece_bpe_32k.model"), with_ids=True, keep=("position",))
 
 
 STAGES = [("toxicity", toxic), ("jaccard_join", near_copies), ("secret_scan", secrets), ("mixing", mixed), ("sentence_pieces", encoded)]

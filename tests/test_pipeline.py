@@ -1,16 +1,70 @@
 """The corpus pipeline's stages and run() on small tables."""
 
+from collections import Counter
+from fractions import Fraction
+from math import ceil, floor
+
 import numpy as np
 
 import corpus_pipeline
 import public_tokenizers
-from verstore.llm import sentence_pieces
+from verstore.llm import common, jaccard_join, mixing, secret_scan, sentence_pieces, toxicity
 
 
 def test_encoding_is_kept(spark):
     texts = [None, "", "The cat sat on the mat.", "é ß  x\n\nz"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     lattice = sentence_pieces.Lattice(public_tokenizers.path("piece_bpe_32k.model"))
-    for r in corpus_pipeline.encoded(spark, docs, "").collect():
+    for r in corpus_pipeline.encoded(spark, common.stored(docs), "").collect():
         assert sentence_pieces.decode(lattice, np.array(r.ids)) == (texts[r.doc_id] or "")
         assert len(r.nbest_changes) == len(r.nbest_scores)
+
+
+def slots_by_force(blocks, shares):
+    """The source of each slot, looking at all sources in each slot."""
+    total, left = sum(blocks.values()), dict(blocks)
+    out = []
+    while left:
+        weights = {s: Fraction(shares[s]) for s in left}
+        scale, had = sum(weights.values()), dict.fromkeys(left, 0)
+        t = 0
+        while all(left.values()):
+            ready = [s for s in left if floor(had[s] * scale / weights[s]) <= t]
+            s = min(ready, key=lambda s: (ceil((had[s] + 1) * scale / weights[s]), str(s)))
+            out.append(s)
+            had[s], left[s], t = had[s] + 1, left[s] - 1, t + 1
+        left = {s: n for s, n in left.items() if n}
+    assert len(out) == total
+    return out
+
+
+def test_run_by_force(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = common.table(spark, sf, "documents")
+    model = toxicity.train(docs, common.table(spark, sf, "labels"))
+    clean = sorted((r for r in toxicity.score(docs, model, ("_score", "_toxic")).collect() if r["_toxic"] == 0), key=lambda r: r.doc_id)
+    sets = [jaccard_join.exact_set(r.text or "") for r in clean]
+    label = list(range(len(clean)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if label[i] != label[j] and jaccard_join.linked(a, sets[j]):
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    kept = [r for i, r in enumerate(clean) if label[i] == i]
+    spans = secret_scan.found([r.text or "" for r in kept], secret_scan.train())[1]
+    want = {}
+    for r, own in zip(kept, spans):
+        hidden = {k for a, _, b in own for k in range(a, b)}
+        want[r.doc_id] = "".join("*" if k in hidden else c for k, c in enumerate(r.text or ""))
+    source = {r.doc_id: r.source for r in kept}
+    sizes = Counter(source.values())
+    shares = {s: (n / len(kept)) ** mixing.TEMPERATURE for s, n in sizes.items()}
+    got = sorted(corpus_pipeline.run(spark, sf).collect(), key=lambda r: r.position)
+    assert [r.position for r in got] == list(range(len(kept)))
+    lattice = sentence_pieces.Lattice(public_tokenizers.path("piece_bpe_32k.model"))
+    assert {r.doc_id: sentence_pieces.decode(lattice, np.array(r.ids)) for r in got} == want
+    left, order = dict(sizes), []
+    for s in slots_by_force({s: -(-n // mixing.BLOCK) for s, n in sizes.items()}, shares):
+        order += [s] * min(mixing.BLOCK, left[s])
+        left[s] -= min(mixing.BLOCK, left[s])
+    assert [source[r.doc_id] for r in got] == order

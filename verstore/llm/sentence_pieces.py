@@ -304,14 +304,16 @@ SCHEMA = "doc_id bigint, n_pieces bigint, ids_crc32 bigint, score double, nbest_
 IDS = ", ids array<bigint>, nbest_changes array<array<struct<place: bigint, cut: bigint, ids: array<bigint>>>>"
 
 
-def encode(docs: DataFrame, path: str, best: int = BEST, with_ids: bool = False) -> DataFrame:
+def encode(docs: DataFrame, path: str, best: int = BEST, with_ids: bool = False, keep: tuple = ()) -> DataFrame:
     """Each text's best paths: counts, scores and whether decoding restores it
-    (and the best path's ids, with what each of the paths changes in them)."""
+    (and the best path's ids, with what each of the paths changes in them; and
+    the columns named by keep)."""
+    kept = docs.select(*keep).schema.fields
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = _known.get(path) or _known.setdefault(path, Lattice(path))
         gc.disable()  # the kept units are no garbage, and hold no cycles
-        names = [f.split(" ")[0] for f in SCHEMA.split(", ")] + ["ids", "nbest_changes"] * with_ids
+        names = [f.split(" ")[0] for f in SCHEMA.split(", ")] + ["ids", "nbest_changes"] * with_ids + [*keep]
         types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.bool_()]
         changed = pa.list_(pa.list_(pa.struct([("place", pa.int64()), ("cut", pa.int64()), ("ids", pa.list_(pa.int64()))])))
         for batch in batches:
@@ -331,9 +333,9 @@ def encode(docs: DataFrame, path: str, best: int = BEST, with_ids: bool = False)
                 if with_ids:
                     cuts = np.cumsum([0, *map(len, best_ids)], dtype=np.int32)
                     columns += [pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(best_ids).astype(np.int64))), pa.array(changes, changed)]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                yield pa.RecordBatch.from_arrays([*columns, *(part.column(c) for c in keep)], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA + IDS * with_ids)
+    return docs.select("doc_id", "text", *keep).mapInArrow(run, SCHEMA + IDS * with_ids + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in kept))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
