@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from verstore.llm import common, jaccard_join, mixing, secret_scan, sentence_pieces, toxicity
 
 ORACLE_SQL = None  # trained models and a schedule: tested against brute force
+#: Near copies: words per shingle, least common hundredths.
+WORDS, PERCENT = 5, 80
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +29,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the first document of each component; rows without an id stay."""
-    others = jaccard_join.join(docs).where("doc_id != component_id").select("doc_id").distinct()
+    others = jaccard_join.join(docs, WORDS, PERCENT).where("doc_id != component_id").select("doc_id").distinct()
     return jaccard_join.only(docs, common.stored(others), "left_anti")
 
 

@@ -299,3 +299,25 @@ def test_jaccard_crowded(spark, monkeypatch):
     rows = list(enumerate([*texts, *texts[:3]]))
     got = jaccard_join.join(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == components_by_force(rows)
+
+
+def test_jaccard_by_five_words(spark):
+    """Other shingle lengths and shares, against all pairs."""
+    rng = random.Random(4)
+    texts = []
+    for family in range(10):
+        words = [f"w{rng.randrange(400)}" for _ in range(rng.randint(1, 150))]
+        for _ in range(6):
+            own = list(words)
+            for at in rng.sample(range(len(own)), rng.randint(0, max(1, len(own) // 35))):
+                own[at] = f"v{rng.randrange(9)}"
+            texts.append(" ".join(own))
+    got = jaccard_join.join(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), 5, 80).collect()
+    sets = [jaccard_join.exact_set(t, 5) for t in texts]
+    label = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) * 100 >= 80 * len(a | sets[j]):
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: (len(a), label[i]) for i, a in enumerate(sets)}

@@ -1,7 +1,7 @@
 """Operator 10, n-gram Jaccard join by universe partition and pigeonhole.
 
-A document's set holds its distinct 4-word shingles (64-bit hashes).  Sizes
-fall into bands whose bounds grow by 1/0.85, so linked sets lie in one band or
+A document's set holds its distinct 4-word shingles (64-bit hashes; other
+lengths and shares by parameter).  Sizes fall into bands whose bounds grow by 1/0.85, so linked sets lie in one band or
 in neighbours.  For a band the hash universe is cut into m segments, one more
 than the largest symmetric difference of linked sets in it: at least one
 segment of a linked pair is equal.
@@ -38,8 +38,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
+#: The query's words per shingle.
 WORDS = 4
-#: Linked: 100 x intersection >= 85 x union.
+#: Linked in the query: 100 x intersection >= 85 x union.
 PERCENT = 85
 #: Ids sent to every executor at once, at most; beyond that they are joined by shuffle.
 BROADCAST_IDS = 1_000_000
@@ -124,36 +125,36 @@ def exact_set(text: str, words: int = WORDS) -> set:
 _TO_SPACE = bytes(32 if _SPACE[i] else i for i in range(256))
 
 
-def linked(a: set, b: set) -> bool:
+def linked(a: set, b: set, percent: int = PERCENT) -> bool:
     small, large = (a, b) if len(a) <= len(b) else (b, a)
-    if not small or 100 * len(small) < PERCENT * len(large):
+    if not small or 100 * len(small) < percent * len(large):
         return False
     both = len(small & large)
-    return 100 * both >= PERCENT * (len(a) + len(b) - both)
+    return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def difference(total: int) -> int:
+def difference(total: int, percent: int = PERCENT) -> int:
     """The largest symmetric difference of linked sets with total elements."""
-    return (100 - PERCENT) * total // (100 + PERCENT)
+    return (100 - percent) * total // (100 + percent)
 
 
 @cache
-def band(n: int) -> tuple[int, int, int]:
+def band(n: int, percent: int = PERCENT) -> tuple[int, int, int]:
     """(number, largest size, segments) of the band of size n >= 1."""
     k, low = 0, 1
     while True:
-        high = low * 100 // PERCENT
+        high = low * 100 // percent
         if n <= high:
-            return k, high, difference(high + high * 100 // PERCENT) + 1
+            return k, high, difference(high + high * 100 // percent, percent) + 1
         k, low = k + 1, high + 1
 
 
 @cache
-def band_below(n: int) -> tuple[int, int, int] | None:
+def band_below(n: int, percent: int = PERCENT) -> tuple[int, int, int] | None:
     k, low = 0, 1
     before = None
-    while n > (high := low * 100 // PERCENT):
-        before = (k, high, difference(high + high * 100 // PERCENT) + 1)
+    while n > (high := low * 100 // percent):
+        before = (k, high, difference(high + high * 100 // percent, percent) + 1)
         k, low = k + 1, high + 1
     return before
 
@@ -176,7 +177,7 @@ def allocation(sizes: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndar
     return rank < np.where(spare, np.maximum(full, need - 1), need)[:, None], spare
 
 
-def signatures(sets: list[np.ndarray], number: int, high: int, m: int, own: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def signatures(sets: list[np.ndarray], number: int, high: int, m: int, own: bool, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Set, key and role (1 indexed, 2 probes, 3 both) of what sets sign in one
     band: their own, or (probing alone) the one below."""
     lengths = np.array([len(s) for s in sets])
@@ -188,7 +189,7 @@ def signatures(sets: list[np.ndarray], number: int, high: int, m: int, own: bool
     total = np.zeros(len(sets) * m, dtype=np.uint64)
     first = np.concatenate([[0], np.flatnonzero(np.diff(cell)) + 1])
     total[cell[first]] = np.add.reduceat(marks, first)
-    chosen, spare = allocation(sizes.reshape(-1, m), np.array([difference(n + min(n, high)) for n in lengths.tolist()]) + 1)
+    chosen, spare = allocation(sizes.reshape(-1, m), np.array([difference(n + min(n, high), percent) for n in lengths.tolist()]) + 1)
     role = chosen.ravel().astype(np.int8) * 2 + np.int8(own)
     signed = np.flatnonzero(role)
     out = [(signed // m, _keys(number, signed % m, sizes[signed], total[signed]), role[signed])]
@@ -216,16 +217,16 @@ def parity(s: np.ndarray) -> bytes:
     return np.packbits(np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint8) & 1).tobytes()
 
 
-def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _described(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     signed = lambda v: pa.array(np.array(v, dtype=np.uint64).view(np.int64))
     for batch in batches:
         for part in common.pieces(batch, "text", 1 << 20):
-            sets = shingle_sets(common.texts_of(part))
+            sets = shingle_sets(common.texts_of(part), words)
             marks = [digest(s) for s in sets]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), signed([a for a, _ in marks]), signed([b for _, b in marks]), pa.array([parity(s) for s in sets], pa.binary())], names=["doc_id", "n_shingles", "one", "two", "sketch"])
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _signed(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iterator[pa.RecordBatch]:
     seen: set[tuple[int, int, int]] = set()  # copies within a task sign once
     docs: list[int] = []
     sets: list[np.ndarray] = []
@@ -235,20 +236,20 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nonlocal docs, sets, held
         groups: dict[tuple, list[int]] = {}
         for i, s in enumerate(sets):
-            groups.setdefault((*band(len(s)), True), []).append(i)
-            below = band_below(len(s))
-            if below and 100 * below[1] >= PERCENT * len(s):
+            groups.setdefault((*band(len(s), percent), True), []).append(i)
+            below = band_below(len(s), percent)
+            if below and 100 * below[1] >= percent * len(s):
                 groups.setdefault((*below, False), []).append(i)
         ids, n = np.array(docs, dtype=np.int64), np.array([len(s) for s in sets], dtype=np.int32)
         for group, members in groups.items():
-            row, key, role = signatures([sets[i] for i in members], *group)
+            row, key, role = signatures([sets[i] for i in members], *group, percent)
             own = np.array(members)[row]
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[own]), pa.array(n[own]), pa.array(role)], names=["key", "id", "n", "role"])
         docs, sets, held = [], [], 0
 
     for batch in batches:
         for part in common.pieces(batch, "text", 1 << 20):
-            for doc, s in zip(part.column("doc_id").to_pylist(), shingle_sets(common.texts_of(part))):
+            for doc, s in zip(part.column("doc_id").to_pylist(), shingle_sets(common.texts_of(part), words)):
                 if doc is None or not len(s) or (mark := (len(s), *digest(s))) in seen:
                     continue
                 seen.add(mark)
@@ -266,7 +267,7 @@ def only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids, "doc_id", how)
 
 
-def possible(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+def possible(rows: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs that their sketches don't rule out: the sets differ in as many
     elements as the sketches in bits, at least."""
 
@@ -277,14 +278,14 @@ def possible(rows: DataFrame, pairs: DataFrame) -> DataFrame:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint64).reshape(batch.num_rows, -1) for c in ("sketch_a", "sketch_b"))
             apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
             total = batch.column("total").to_numpy()
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array((100 + PERCENT) * apart <= (100 - PERCENT) * total))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array((100 + percent) * apart <= (100 - percent) * total))
 
     sketch = rows.select("doc_id", "n_shingles", "sketch").where("doc_id IS NOT NULL")
     both = pairs.join(sketch.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sketch_a")), "a").join(sketch.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sketch_b")), "b")
     return both.select("a", "b", (F.col("na") + F.col("nb")).alias("total"), "sketch_a", "sketch_b").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def crowded(rows: DataFrame, groups: DataFrame, nearest: bool = False) -> DataFrame:
+def crowded(rows: DataFrame, groups: DataFrame, nearest: bool = False, percent: int = PERCENT) -> DataFrame:
     """The pairs within keys (of key, id, n, role, label, size) that sizes,
     roles, labels and sketches don't rule out; or of these each set's nearest.
 
@@ -306,12 +307,12 @@ def crowded(rows: DataFrame, groups: DataFrame, nearest: bool = False) -> DataFr
         if table.column("i")[0].as_py() == table.column("j")[0].as_py() or at.min() != at.max():
             for k in first.tolist():
                 y = second
-                y = y[(label[y] != label[k]) & (100 * np.minimum(n[y], n[k]) >= PERCENT * np.maximum(n[y], n[k]))]
+                y = y[(label[y] != label[k]) & (100 * np.minimum(n[y], n[k]) >= percent * np.maximum(n[y], n[k]))]
                 y = y[(n[y] <= n[k]) & (role[k] >= 2) & (role[y] % 2 == 1) | (n[k] <= n[y]) & (role[y] >= 2) & (role[k] % 2 == 1)]
                 if not len(y):
                     continue
                 apart = np.bitwise_count(bits[y] ^ bits[k]).sum(axis=1, dtype=np.int64)
-                near = (100 + PERCENT) * apart <= (100 - PERCENT) * (n[y] + n[k])
+                near = (100 + percent) * apart <= (100 - percent) * (n[y] + n[k])
                 y, apart = y[near], apart[near]
                 if nearest and len(y):
                     y = y[[np.argmin(apart)]]
@@ -323,7 +324,7 @@ def crowded(rows: DataFrame, groups: DataFrame, nearest: bool = False) -> DataFr
     return paired.groupBy("key", "i", "j").applyInArrow(run, "a bigint, b bigint").distinct()
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def verified(docs: DataFrame, pairs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b), those that sketches leave, whose texts are linked."""
     pairs = common.stored(pairs)
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
@@ -339,8 +340,8 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             for i in range(batch.num_rows):
                 x = batch.column("text_b")[i].as_py()
                 if x != last:
-                    last, own = x, exact_set(x)
-                keep.append(linked(own, exact_set(batch.column("text_a")[i].as_py())))
+                    last, own = x, exact_set(x, words)
+                keep.append(linked(own, exact_set(batch.column("text_a")[i].as_py(), words), percent))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     both = pairs.join(left, "a").join(right, "b")
@@ -361,17 +362,18 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of docs."""
+def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of docs; sets of shingles of
+    words words are linked from percent hundredths of their union on."""
     docs = docs.select("doc_id", "text")
-    rows = common.stored(docs.mapInArrow(_described, "doc_id bigint, n_shingles bigint, one bigint, two bigint, sketch binary"))
+    rows = common.stored(docs.mapInArrow(lambda batches: _described(batches, words), "doc_id bigint, n_shingles bigint, one bigint, two bigint, sketch binary"))
     known = rows.where("doc_id IS NOT NULL AND n_shingles > 0")
     mark = ["n_shingles", "one", "two"]
     classes = common.stored(known.groupBy(*mark).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
     # where rows repeat an id with other texts, the id's classes are one
     repeated = known.join(classes.select(*mark, "rep"), mark).groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("z"), F.collect_set("rep").alias("reps")).where("b != z").select(F.explode("reps").alias("a"), "b")
 
-    signed = docs.mapInArrow(_signed, "key bigint, id bigint, n int, role tinyint")
+    signed = docs.mapInArrow(lambda batches: _signed(batches, words, percent), "key bigint, id bigint, n int, role tinyint")
     from pyspark.sql import Window
 
     by_key = Window.partitionBy("key")
@@ -382,13 +384,13 @@ def join(docs: DataFrame) -> DataFrame:
         """Each set with one other of its key, of another component."""
         hub = F.min_by(F.struct("id", "n", "label"), F.xxhash64("id", F.lit(turn)))
         stars = groups.withColumn("h", hub.over(by_key))
-        stars = stars.where((F.col("h.label") != F.col("label")) & (100 * F.least("n", "h.n") >= PERCENT * F.greatest("n", "h.n")))
+        stars = stars.where((F.col("h.label") != F.col("label")) & (100 * F.least("n", "h.n") >= percent * F.greatest("n", "h.n")))
         return stars.groupBy(F.col("id").alias("a")).agg(F.min("h.id").alias("b"))
 
     edges, groups = repeated, shared.withColumn("label", F.col("id"))
     for turn in range(STARS + NEAREST):
-        tried = possible(rows, star(groups, turn)) if turn < STARS else crowded(rows, groups.where(F.col("size") > CROWD), True)
-        found = verified(docs, tried)
+        tried = possible(rows, star(groups, turn), percent) if turn < STARS else crowded(rows, groups.where(F.col("size") > CROWD), True, percent)
+        found = verified(docs, tried, words, percent)
         edges = common.stored(edges.unionByName(found))
         labels = components(edges)
         labelled = shared.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
@@ -397,9 +399,9 @@ def join(docs: DataFrame) -> DataFrame:
     few = groups.where(F.col("size") <= CROWD)
     probing = few.where("role >= 2").select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
     indexed = few.where("role % 2 = 1").select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    rest = probing.join(indexed, "key").where(f"la != lb AND nb <= na AND 100 * nb >= {PERCENT} * na").select("a", "b").distinct()
-    rest = possible(rows, rest).unionByName(crowded(rows, groups.where(F.col("size") > CROWD))).distinct()
-    edges = common.stored(edges.unionByName(verified(docs, rest)))
+    rest = probing.join(indexed, "key").where(f"la != lb AND nb <= na AND 100 * nb >= {percent} * na").select("a", "b").distinct()
+    rest = possible(rows, rest, percent).unionByName(crowded(rows, groups.where(F.col("size") > CROWD), percent=percent)).distinct()
+    edges = common.stored(edges.unionByName(verified(docs, rest, words, percent)))
     # a set signs under any of its copies' ids: tie them to the class
     signers = edges.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     ties = known.join(signers, "doc_id", "left_semi").join(classes.where("copies > 1").select(*mark, "rep"), mark).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
