@@ -2,13 +2,16 @@
 
 Every stored row keeps its commit_ts, so the newest version is always found by
 commit order.  Files are never deleted before a manifest without them is
-published; a file that a manifest lists but that is gone is corruption.
+published (``vacuum``); a file that a manifest lists but that is gone is
+corruption.
 """
 
 from __future__ import annotations
 
 import os
+import shutil
 import threading
+import time
 import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -23,6 +26,8 @@ from . import manifest as mf
 from .errors import ConflictError, CorruptionError, InvalidDataError
 
 SCHEMA = "key binary, value binary, commit_ts bigint, tx_id bigint"
+#: Folders of the log from which maintenance merges them.
+MERGE = 64
 _ARROW = pa.schema([("key", pa.binary()), ("value", pa.binary()), ("commit_ts", pa.int64()), ("tx_id", pa.int64())])
 
 
@@ -83,7 +88,7 @@ class Transaction:
     def close(self) -> None:
         if not self.closed:
             self.closed = True
-            self.db._release(self.snapshot.last_commit_ts)
+            self.db._release(self.snapshot)
 
     def __enter__(self) -> Transaction:
         return self
@@ -98,7 +103,7 @@ class Database:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
         os.makedirs(path, exist_ok=True)
-        self._lock, self._pinned = threading.RLock(), Counter()
+        self._lock, self._pinned, self._open = threading.RLock(), Counter(), Counter()
         self._background: tuple[threading.Thread, threading.Event] | None = None
         self.manifest = mf.latest(path)
         for f in self.manifest.files:
@@ -131,6 +136,8 @@ class Database:
         """key, value, commit_ts of the live keys at a commit."""
         with self._lock:
             m = self.manifest
+        if as_of is not None and as_of < self._retained(m):
+            raise InvalidDataError(f"commits before {self._retained(m)} were merged away")
         return resolve.live(self._newest(m, m.last_commit_ts if as_of is None else min(as_of, m.last_commit_ts)))
 
     def history(self) -> DataFrame:
@@ -170,12 +177,15 @@ class Database:
             self.manifest = mf.latest(self.path)
             self._tx_ids = max(getattr(self, "_tx_ids", 0), self.manifest.next_tx_id) + 1
             self._pinned[self.manifest.last_commit_ts] += 1
+            self._open[self.manifest] += 1
             return Transaction(self, self._tx_ids, self.manifest)
 
-    def _release(self, ts: int) -> None:
+    def _release(self, snapshot: mf.Manifest) -> None:
         with self._lock:
-            self._pinned[ts] -= 1
+            self._pinned[snapshot.last_commit_ts] -= 1
+            self._open[snapshot] -= 1
             self._pinned += Counter()
+            self._open += Counter()
 
     def oldest_snapshot(self) -> int | None:
         return min(self._pinned, default=None)
@@ -223,6 +233,8 @@ class Database:
 
     def _validate(self, tx: Transaction, m: mf.Manifest) -> None:
         """First committer wins: written keys, read keys, keys in read ranges."""
+        if m.restores != tx.snapshot.restores:
+            raise ConflictError("the store was restored after the snapshot")
         since = tx.snapshot.last_commit_ts
         new = [f for f in m.files if f.kind == "log" and f.max_ts > since]
         if not new:
@@ -233,10 +245,11 @@ class Database:
             keys = self.spark.createDataFrame([(bytearray(k),) for k in watched], "key binary")
             if hit := rows.join(keys, "key", "left_semi").head(1):
                 raise ConflictError(f"key {bytes(hit[0][0])!r} changed after the snapshot")
+        if tx.ranges and tx.writes:  # own writes were looked at above
+            rows = rows.join(self.spark.createDataFrame([(bytearray(k),) for k in tx.writes], "key binary"), "key", "left_anti")
         for start, end in tx.ranges:  # pushed down to the scan
-            for r in resolve.in_range(rows, bytearray(start), bytearray(end)).distinct().toLocalIterator():
-                if bytes(r[0]) not in tx.writes:
-                    raise ConflictError(f"key {bytes(r[0])!r} appeared in a read range")
+            if hit := resolve.in_range(rows, bytearray(start), bytearray(end)).head(1):
+                raise ConflictError(f"key {bytes(hit[0][0])!r} appeared in a read range")
 
     def _commit(self, tx: Transaction) -> int:
         with self._lock:
@@ -277,44 +290,117 @@ class Database:
                     return
 
     def _compacted(self, m: mf.Manifest) -> mf.Manifest:
-        while True:
-            counts = m.level_counts()
-            level = next((n for n, most in mf.THRESHOLDS.items() if counts.get(n, 0) > most), None)
-            if level is None:
-                return m
-            upper = [f for f in m.files if f.kind == "seg" and f.level == level]
-            low, high = min(bytes.fromhex(f.min_key) for f in upper), max(bytes.fromhex(f.max_key) for f in upper)
-            taken = {*upper, *(f for f in m.files if f.kind == "seg" and f.level == level + 1 and f.overlaps(low, high))}
+        while found := mf.due(m.files):
+            level, taken = found
             merged = self._write(resolve.newest(self._log(m, sorted(taken, key=lambda f: f.path)), "tx_id"), "seg", level + 1)
             m = mf.replace(m, files=(*(f for f in m.files if f not in taken), *merged))
+        return m
 
     def gc(self) -> int:
         """Versions that no snapshot can read any more since the last call."""
         with self._lock:
-            m = mf.latest(self.path)
-            floor = m.last_commit_ts if not self._pinned else min(self._pinned)
-            if floor <= m.gc_floor:
-                return 0
-            from pyspark.sql import Window
-
-            after = F.lead("commit_ts").over(Window.partitionBy("key").orderBy("commit_ts"))
-            rows = self._log(m, [f for f in m.files if f.kind == "log"]).select(after.alias("after"))
-            removed = rows.where((F.col("after") > m.gc_floor) & (F.col("after") <= floor)).count()
-            self._publish(m.next(gc_floor=floor))
-            return removed
+            while True:
+                m = mf.latest(self.path)
+                floor = min([m.last_commit_ts, *self._pinned, *(ts for _, ts in m.pins)])
+                if floor <= m.gc_floor:
+                    return 0
+                from pyspark.sql import Window
+
+                after = F.lead("commit_ts").over(Window.partitionBy("key").orderBy("commit_ts"))
+                rows = self._log(m, [f for f in m.files if f.kind == "log"]).select(after.alias("after"))
+                removed = rows.where((F.col("after") > m.gc_floor) & (F.col("after") <= floor)).count()
+                if self._publish(m.next(gc_floor=floor)):
+                    return removed
 
     def restore(self, commit_ts: int) -> None:
-        """The state at min(commit_ts, last), as a new manifest version."""
+        """The state at min(commit_ts, last), as a new manifest version; open
+        transactions can't commit after it."""
+        with self._lock:
+            while True:
+                m = mf.latest(self.path)
+                target = max(0, min(commit_ts, m.last_commit_ts))
+                if target < self._retained(m):
+                    raise InvalidDataError(f"commits before {self._retained(m)} were merged away")
+                kept = []
+                for f in m.files:
+                    if f.kind == "log" and f.max_ts <= target:
+                        kept.append(f)
+                    elif f.kind == "log" and f.min_ts <= target:
+                        kept += self._write(self._log(m, [f]).where(F.col("commit_ts") <= target), "log", 0)
+                pins = tuple(p for p in m.pins if p[1] <= target)
+                if self._publish(m.next(last_commit_ts=target, flushed_ts=0, gc_floor=min(m.gc_floor, target), restores=(*m.restores, target), pins=pins, files=tuple(kept))):
+                    return
+
+    # retention
+
+    @staticmethod
+    def _retained(m: mf.Manifest) -> int:
+        """Reads at commits before this one would miss versions."""
+        return m.merged_ts
+
+    def pin(self, name: str) -> int:
+        """Keeps the present snapshot, by name, over closes and vacuums."""
+        with self._lock:
+            while True:
+                m = mf.latest(self.path)
+                if any(n == name for n, _ in m.pins):
+                    raise InvalidDataError(f"pin {name!r} is taken")
+                if self._publish(m.next(pins=(*m.pins, (name, m.last_commit_ts)))):
+                    return m.last_commit_ts
+
+    def unpin(self, name: str) -> None:
+        with self._lock:
+            while True:
+                m = mf.latest(self.path)
+                if self._publish(m.next(pins=tuple(p for p in m.pins if p[0] != name))):
+                    return
+
+    def pins(self) -> dict[str, int]:
+        return dict(mf.latest(self.path).pins)
+
+    def merge_log(self, drop_garbage: bool = False) -> int:
+        """Rewrites the flushed commits' folders as one; returns how many it replaced.
+
+        With drop_garbage, versions that gc has counted go too: reads and
+        restores before the floor are refused from then on.
+        """
+        with self._lock:
+            while True:
+                m = mf.latest(self.path)
+                logs = [f for f in m.files if f.kind == "log" and f.max_ts <= m.flushed_ts]
+                if len(logs) < 2 and not (drop_garbage and logs and m.gc_floor > m.merged_ts):
+                    return 0
+                rows = self._log(m, logs)
+                if drop_garbage:
+                    from pyspark.sql import Window
+
+                    after = F.lead("commit_ts").over(Window.partitionBy("key").orderBy("commit_ts"))
+                    rows = rows.withColumn("after", after).where(F.col("after").isNull() | (F.col("after") > m.gc_floor)).drop("after")
+                merged = self._write(rows, "log", 0)
+                files = (*merged, *(f for f in m.files if f not in logs))
+                if self._publish(m.next(merged_ts=max(m.merged_ts, m.gc_floor) if drop_garbage else m.merged_ts, files=files)):
+                    return len(logs)
+
+    def vacuum(self, keep_versions: int = 1, older_than_s: float = 3600.0) -> list[str]:
+        """Deletes folders that none of the newest keep_versions manifests nor an
+        open snapshot lists, and older manifests.  Folders younger than
+        older_than_s stay: a writer may be about to publish them."""
         with self._lock:
-            m = mf.latest(self.path)
-            target = max(0, min(commit_ts, m.last_commit_ts))
-            kept = []
-            for f in m.files:
-                if f.kind == "log" and f.max_ts <= target:
-                    kept.append(f)
-                elif f.kind == "log" and f.min_ts <= target:
-                    kept += self._write(self._log(m, [f]).where(F.col("commit_ts") <= target), "log", 0)
-            self._publish(m.next(last_commit_ts=target, flushed_ts=0, gc_floor=min(m.gc_floor, target), files=tuple(kept)))
+            found = mf.versions(self.path)
+            old, new = found[: -max(1, keep_versions)], found[-max(1, keep_versions) :]
+            manifests = [mf.read(self.path, v) for v in new] + list(self._open)
+            listed = {f.path for m in manifests for f in m.files}
+            gone = []
+            for kind in ("log", "seg"):
+                top = os.path.join(self.path, kind)
+                for name in sorted(os.listdir(top)) if os.path.isdir(top) else ():
+                    full = os.path.join(top, name)
+                    if f"{kind}/{name}" not in listed and time.time() - os.path.getmtime(full) >= older_than_s:
+                        shutil.rmtree(full)
+                        gone.append(f"{kind}/{name}")
+            for v in old:
+                os.unlink(os.path.join(mf.folder(self.path), f"{v:020d}.json"))
+            return gone
 
     def start_background(self, interval_s: float) -> None:
         if interval_s <= 0:
@@ -328,6 +414,9 @@ class Database:
                 try:
                     self.checkpoint()
                     self.gc()
+                    if sum(f.kind == "log" for f in self.manifest.files) > MERGE:
+                        self.merge_log()
+                    self.vacuum()
                 except Exception:  # noqa: BLE001  the next round tries again
                     continue
 

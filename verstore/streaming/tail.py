@@ -1,9 +1,12 @@
 """The change log as a stream.
 
-The offset is a commit_ts: a micro-batch reads the log files that hold commits
-between two offsets, each file by a task of its own, so that a restarted query
-reads the same rows again.  A restore takes the store back; the stream then
-waits until commits pass its own offset.
+The offset is a manifest version with its last commit_ts and the number of
+restores so far.  A micro-batch reads the log files of its end's manifest that
+hold commits between two offsets, each file by a task of its own, so that a
+restarted query reads the same rows again (while vacuum keeps that manifest;
+after that, the newest one's).  After a restore the batch begins at the commit
+that was gone back to: rows that the restore undid stay delivered, and all
+commits since are delivered though their numbers repeat.
 """
 
 from __future__ import annotations
@@ -28,19 +31,19 @@ class _Part(InputPartition):
 
 class _Reader(DataSourceStreamReader):
     def __init__(self, root: str, after: int):
-        self.root, self.after, self.seen = root, after, after
+        self.root, self.after = root, after
 
     def initialOffset(self) -> dict:
-        return {"commit_ts": self.after}
+        return {"version": 0, "commit_ts": self.after, "restores": 0}
 
     def latestOffset(self) -> dict:
-        self.seen = max(self.seen, mf.latest(self.root).last_commit_ts)  # offsets never fall
-        return {"commit_ts": self.seen}
+        m = mf.latest(self.root)
+        return {"version": m.version, "commit_ts": m.last_commit_ts, "restores": len(m.restores)}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        after, to = start["commit_ts"], end["commit_ts"]
-        self.seen = max(self.seen, to)  # as after a restart
-        files = [f for f in mf.latest(self.root).files if f.kind == "log" and f.max_ts > after and f.min_ts <= to]
+        m = mf.read(self.root, end["version"]) if end["version"] in mf.versions(self.root) else mf.latest(self.root)
+        after, to = m.survived(start["commit_ts"], start["restores"]), end["commit_ts"]
+        files = [f for f in m.files if f.kind == "log" and f.max_ts > after and f.min_ts <= to]
         return [_Part(os.path.join(self.root, f.path, n), after, to) for f in files for n in sorted(os.listdir(os.path.join(self.root, f.path))) if n.endswith(".parquet")]
 
     def read(self, part: _Part) -> Iterator:
