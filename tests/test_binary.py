@@ -184,3 +184,54 @@ def test_tail(spark, tmp_path):
     run()
     assert pairs(copy.view()) == pairs(db.view()) == {b"b": b"1", b"c": b"2"}
     assert copy.manifest.last_commit_ts == 2
+
+
+def test_tail_over_restore(spark, tmp_path):
+    """Commits after a restore arrive though their numbers were seen before."""
+    db, copy = (Database.open(spark, str(tmp_path / n)) for n in ("db", "copy"))
+    run = lambda: streaming.apply(streaming.tail(spark, db.path).withColumnRenamed("commit_ts", "seq"), copy, str(tmp_path / "at")).awaitTermination()
+    for i in range(4):
+        db.set(b"k%d" % i, b"1")
+    run()
+    db.restore(2)
+    db.set(b"k2", b"again")
+    run()
+    assert pairs(copy.view()) == {b"k0": b"1", b"k1": b"1", b"k2": b"again", b"k3": b"1"}  # what was undone stays delivered
+    db.set(b"k4", b"1")
+    run()
+    assert pairs(copy.view())[b"k4"] == b"1"
+
+
+def test_request_over_a_divergent_tail(tmp_path):
+    """From the first difference on all of a request's entries count, also
+    those whose terms happen to agree with the old tail's."""
+    log = ReplicatedLog(str(tmp_path / "log"))
+    for term in (1, 1, 3):
+        log.append(term, b"old", b"")
+    new = (Entry(2, 2, b"a", b"1"), Entry(3, 3, b"b", b"2"))
+    assert log.apply_append_request(AppendRequest(1, 1, new)).last_index == 3
+    assert log.entries_from(2) == list(new)
+    assert log.apply_append_request(AppendRequest(1, 1, new[:1])).last_index == 3  # a longer tail stays
+    log.close()
+    again = ReplicatedLog(str(tmp_path / "log"))
+    assert again.entries_from(2) == list(new)
+    with pytest.raises(InvalidDataError):
+        again.append_entries((Entry(4, 3, b"c", b""), Entry(6, 3, b"d", b"")))
+    assert again.last_index == 3
+    again.close()
+
+
+def test_index(spark, tmp_path):
+    assert binary.siphash(b"") == 0xD1FBA762150C532C  # of nothing, with the key 0
+    empty = binary.decode_index(binary.encode_index([]))
+    assert empty["min_key"] is None and not binary.may_hold(empty, b"") and not any(empty["bitmap"])
+    keys = [b"key-%04d" % (7 * i) for i in range(300)]
+    index = binary.decode_index(binary.encode_index(keys))
+    assert (index["min_key"], index["max_key"]) == (keys[0], keys[-1]) and all(binary.may_hold(index, k) for k in keys)
+    others = [b"key-%04d" % i for i in range(2000) if i % 7]
+    assert sum(binary.may_hold(index, k) for k in others) < 0.1 * len(others)
+    assert not binary.may_hold(index, b"a") and not binary.may_hold(index, b"z")
+    rows = spark.createDataFrame([(bytearray(k), bytearray(b"v")) for k in keys], "key binary, value binary")
+    names = binary.write_segments(rows, str(tmp_path / "out"))
+    found = [binary.decode_index((tmp_path / "out" / f"{n}.idx").read_bytes()) for n in names]
+    assert [i["min_key"] for i in found] == sorted(i["min_key"] for i in found) and all(any(binary.may_hold(i, k) for i in found) for k in keys)

@@ -26,10 +26,10 @@ SEGMENT_V1, SEGMENT_V2, SEGMENT_V3 = b"TDBSST01", b"TDBSST02", b"TDBSST03"
 INDEX_MAGIC = b"TDBIDX01"
 MANIFEST_V1, MANIFEST_V2 = b"TDBMAN01", b"TDBMAN02"
 SNAPSHOT_V1, SNAPSHOT_V2 = b"TDBSNAP1", b"TDBSNAP2"
-#: Operation codes, codecs, bytes of an index's bitmap.
+#: Operation codes, codecs, bytes of an index's bitmap and hashes per key.
 SET, DELETE, BEGIN, COMMIT = 1, 2, 3, 4
 RAW, ZSTD = 0, 1
-BITMAP = 256
+BITMAP, HASHES = 256, 3
 
 WAL_SCHEMA = "file string, position bigint, op tinyint, tx_id bigint, key binary, value binary"
 LOG_SCHEMA = "file string, position bigint, index bigint, term bigint, op tinyint, key binary, value binary"
@@ -219,6 +219,57 @@ def decode_index(data: bytes) -> dict:
     return {"min_key": keys[0], "max_key": keys[1], "bitmap": _field(data, at, BITMAP, "index")}
 
 
+_M64 = (1 << 64) - 1
+
+
+def siphash(data: bytes) -> int:
+    """SipHash-1-3 with the key 0, as published by its authors."""
+    rotl = lambda x, n: (x << n | x >> 64 - n) & _M64
+
+    def rounds(v: tuple, n: int) -> tuple:
+        a, b, c, d = v
+        for _ in range(n):
+            a, c = a + b & _M64, c + d & _M64
+            b, d = rotl(b, 13) ^ a, rotl(d, 16) ^ c
+            a, c = rotl(a, 32) + d & _M64, c + b & _M64
+            d, b = rotl(d, 21) ^ a, rotl(b, 17) ^ c
+            c = rotl(c, 32)
+        return a, b, c, d
+
+    v = tuple(int.from_bytes(x, "big") for x in (b"somepseu", b"dorandom", b"lygenera", b"tedbytes"))
+    last = data[len(data) // 8 * 8 :].ljust(7, b"\0") + bytes([len(data) & 255])
+    for word in (*(data[i : i + 8] for i in range(0, len(data) // 8 * 8, 8)), last):
+        m = int.from_bytes(word, "little")
+        a, b, c, d = rounds((*v[:3], v[3] ^ m), 1)
+        v = a ^ m, b, c, d
+    a, b, c, d = rounds((v[0], v[1], v[2] ^ 255, v[3]), 3)
+    return a ^ b ^ c ^ d
+
+
+def key_bits(key: bytes) -> list[int]:
+    """The bits of an index's bitmap that a key sets."""
+    return [siphash(seed.to_bytes(8, "little") + key) % (8 * BITMAP) for seed in range(HASHES)]
+
+
+def encode_index(keys: Iterable[bytes]) -> bytes:
+    """The index of a segment with these keys, in ascending order."""
+    bits, low, high, full = 0, None, None, (1 << 8 * BITMAP) - 1
+    for key in keys:
+        low, high = key if low is None else low, key
+        if bits != full:
+            for bit in key_bits(key):
+                bits |= 1 << bit
+    ends = b"".join(b"\0" if k is None else b"\1" + struct.pack("<I", len(k)) + k for k in (low, high))
+    return INDEX_MAGIC + ends + bits.to_bytes(BITMAP, "little")
+
+
+def may_hold(index: dict, key: bytes) -> bool:
+    """Whether a segment with this index (see decode_index) can hold the key."""
+    if index["min_key"] is None or not index["min_key"] <= key <= index["max_key"]:
+        return False
+    return all(index["bitmap"][bit // 8] >> bit % 8 & 1 for bit in key_bits(key))
+
+
 # DataFrames
 
 
@@ -288,7 +339,8 @@ def write_wal(records: DataFrame, path: str, order: str = "position") -> None:
 
 
 def write_segments(rows: DataFrame, folder: str, level: int = 1) -> list[str]:
-    """Segment files of disjoint ranges of (key, value) rows with distinct keys.
+    """Segment files, and an index beside each, of disjoint ranges of
+    (key, value) rows with distinct keys.
 
     Each task writes one file into the folder, which executors and driver
     share; returns the names in the order of their keys.
@@ -299,6 +351,7 @@ def write_segments(rows: DataFrame, folder: str, level: int = 1) -> list[str]:
         pairs = [kv for b in batches for kv in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
         if pairs:
             name = f"l{level}-{TaskContext.get().partitionId() + 1:020d}.sst"
+            _replaced(os.path.join(folder, f"{name}.idx"), lambda out: out.write(encode_index(k for k, _ in pairs)))
             _replaced(os.path.join(folder, name), lambda out: out.write(encode_segment(pairs)))
             yield pa.RecordBatch.from_arrays([pa.array([name])], names=["name"])
 

@@ -72,10 +72,7 @@ def import_archive(db: Database, folder: str) -> int:
 
 
 def export_folder(db: Database, folder: str) -> None:
-    """The present state as segments, manifest and an empty log.
-
-    Index files are left out: readers build them anew from a segment.
-    """
+    """The present state as segments with their indexes, manifest and an empty log."""
     m = db.manifest
     names = binary.write_segments(db.view(m.last_commit_ts).select("key", "value"), folder)
     binary._replaced(os.path.join(folder, WAL), lambda out: None)
