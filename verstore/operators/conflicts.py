@@ -2,14 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Commits of one key that a task looks at together.
+BUCKET = 4096
 
-def _committed_between(rows: DataFrame, writes: DataFrame) -> DataFrame:
-    """rows whose key another transaction wrote after the snapshot."""
-    other = writes.select(F.col("key"), F.col("cts").alias("other_cts")).distinct()
-    return rows.join(other, "key").where("snap < other_cts AND other_cts < cts")
+
+def _committed_between(rows: DataFrame, writes: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """rows whose key another transaction wrote after the snapshot: the last
+    write before a row's own commit is the one to look at.
+
+    A key's rows are dealt by buckets of commits, with the last write of the
+    buckets before, so that a hot key isn't in one task and no pair is built.
+    """
+    none = F.lit(None).cast("bigint")
+    mine = rows.select("tx", "key", "snap", "cts", none.alias("_wrote"))
+    theirs = writes.select(none.alias("tx"), "key", none.alias("snap"), "cts", F.col("cts").alias("_wrote")).distinct()
+    both = mine.unionByName(theirs).withColumn("_b", F.expr(f"cts div {bucket}"))
+    ends = both.groupBy("key", "_b").agg(F.max("_wrote").alias("_end"))
+    earlier = Window.partitionBy("key").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("key", "_b", F.max("_end").over(earlier).alias("_before"))
+    inside = Window.partitionBy("key", "_b").orderBy("cts").rangeBetween(Window.unboundedPreceding, -1)
+    seen = both.withColumn("_in", F.max("_wrote").over(inside)).where("tx IS NOT NULL").join(ends, ["key", "_b"])
+    return seen.where(F.coalesce("_in", "_before") > F.col("snap")).select("tx", "key", "snap", "cts")
 
 
 def write_conflicts(ops: DataFrame) -> DataFrame:
@@ -27,13 +43,20 @@ def read_conflicts(ops: DataFrame) -> DataFrame:
 def phantom_conflicts(ops: DataFrame) -> DataFrame:
     """Writes of others that fall into a transaction's read range.
 
-    The window (snapshot, commit) names the transactions to look at, so the
-    join is on their number; the range is a filter upon it.
+    The window of transactions between snapshot and commit is cut into blocks
+    of 1, 2, 4, ... of them, two of a size at most; writes are kept for the
+    blocks of each size they lie in, the newest per key.  The join is on the
+    block; the range is a filter upon it.
     """
     writes = ops.where(~F.col("is_read")).select("tx", "key", "cts").distinct()
-    ranges = ops.where("is_read").groupBy("tx", "snap").agg(F.min("key").alias("low"), F.max("key").alias("high"))
-    looked = ranges.where("snap < tx").withColumn("other", F.explode(F.sequence("snap", F.col("tx") - 1)))
-    theirs = writes.select(F.col("tx").alias("other"), "key", F.col("cts").alias("other_cts"))
-    hit = looked.join(theirs, "other").where("low <= key AND key < high")
+    ranges = ops.where("is_read").groupBy("tx", "snap").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("snap < tx")
+    longest = ranges.agg(F.max(F.col("tx") - F.col("snap"))).first()[0] or 1
+    sizes = F.explode(F.sequence(F.lit(0), F.lit(int(longest).bit_length()))).alias("size")
+    # blocks [a, b) of each size that aren't in a block of twice the size
+    cut = ranges.select("*", sizes).withColumn("a", F.expr("(snap + shiftleft(1L, size) - 1) div shiftleft(1L, size)")).withColumn("b", F.expr("tx div shiftleft(1L, size)"))
+    ends = F.array(F.when(F.col("a") % 2 == 1, F.col("a")), F.when(F.col("b") % 2 == 1, F.col("b") - 1))
+    looked = cut.where("a < b").select("tx", "low", "high", "size", F.explode(F.array_compact(ends)).alias("block"))
+    theirs = writes.select("key", "cts", "tx", sizes).groupBy("size", F.expr("tx div shiftleft(1L, size)").alias("block"), "key").agg(F.max("cts").alias("other_cts"))
+    hit = looked.join(theirs, ["size", "block"]).where("low <= key AND key < high")
     hit = hit.join(writes.select("tx", "key"), ["tx", "key"], "left_anti")
     return hit.groupBy("tx", "key").agg(F.max("other_cts").alias("cts"))
