@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import conflicts, maintenance, replication, resolve
 from ..sources import changelog
+from ..store import manifest
+from . import scenarios
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -49,19 +51,20 @@ def as_of_view(spark, sf_dir):
 
 @query(f"SELECT key, value, commit_ts FROM {_newest()} WHERE key = 'user-00000007' AND value IS NOT NULL")
 def point_get(spark, sf_dir):
-    return resolve.live(resolve.newest(_log(spark, sf_dir).where(F.col("key") == "user-00000007")))
+    found = changelog.within(changelog.events(spark, sf_dir), "user-00000007", "user-00000008")
+    return resolve.live(resolve.newest(changelog.change_log(found)))
 
 
-@query(f"SELECT a.key AS key, n.key IS NOT NULL AS found, n.value AS value FROM (SELECT DISTINCT printf('user-%08d', c_custkey) AS key FROM customer WHERE c_custkey % 7 = 0) a LEFT JOIN (SELECT * FROM {_newest()} WHERE value IS NOT NULL) n ON a.key = n.key")
+@query(f"SELECT a.key AS key, n.key IS NOT NULL AS found, n.value AS value FROM (SELECT DISTINCT printf('user-%08d', c_custkey) AS key FROM customer) a LEFT JOIN (SELECT * FROM {_newest()} WHERE value IS NOT NULL) n ON a.key = n.key")
 def multi_get(spark, sf_dir):
-    asked = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey % 7 = 0").select(changelog.key_of("c_custkey").alias("key"))
+    asked = spark.read.parquet(f"{sf_dir}/customer.parquet").select(changelog.key_of("c_custkey").alias("key"))
     return resolve.multi_get(_log(spark, sf_dir), asked)
 
 
 @query(f"SELECT key, value, commit_ts FROM {_newest()} WHERE value IS NOT NULL AND key >= 'user-00000010' AND key < 'user-00000050'")
 def range_scan(spark, sf_dir):
-    log = resolve.in_range(_log(spark, sf_dir), "user-00000010", "user-00000050")
-    return resolve.live(resolve.newest(log)).orderBy("key")
+    found = changelog.within(changelog.events(spark, sf_dir), "user-00000010", "user-00000050")
+    return resolve.live(resolve.newest(changelog.change_log(found))).orderBy("key")
 
 
 @query(f"SELECT key, commit_ts FROM {_newest()} WHERE value IS NULL")
@@ -133,10 +136,36 @@ def compaction_merge(spark, sf_dir):
     return merged
 
 
-@query("SELECT least(3, segment % 4) AS level, count(*) AS segments FROM " + _STATS.format(100) + " GROUP BY 1")
+_CHECKPOINTS = "(SELECT count(DISTINCT (event_id) // 100) FROM events)"
+
+
+@query(
+    f"""WITH RECURSIVE apart(n, l0, l1, l2, l3, l4) AS (
+        SELECT 0, 0, 0, 0, 0, 0 UNION ALL
+        SELECT n + 1, CASE WHEN l0 = 4 THEN 0 ELSE l0 + 1 END, CASE WHEN l0 < 4 THEN l1 WHEN l1 = 1 THEN 0 ELSE l1 + 1 END,
+            CASE WHEN l0 < 4 OR l1 < 1 THEN l2 WHEN l2 = 4 THEN 0 ELSE l2 + 1 END,
+            CASE WHEN l0 < 4 OR l1 < 1 OR l2 < 4 THEN l3 WHEN l3 = 16 THEN 0 ELSE l3 + 1 END,
+            CASE WHEN l0 < 4 OR l1 < 1 OR l2 < 4 OR l3 < 16 THEN l4 ELSE l4 + 1 END
+        FROM apart WHERE n < {_CHECKPOINTS}),
+    over(n, l0, l1) AS (SELECT 0, 0, 0 UNION ALL SELECT n + 1, CASE WHEN l0 = 4 THEN 0 ELSE l0 + 1 END, CASE WHEN l0 = 4 THEN 1 ELSE l1 END FROM over WHERE n < {_CHECKPOINTS}),
+    rows AS (SELECT 'apart' AS keys, unnest([0, 1, 2, 3, 4]) AS level, unnest([l0, l1, l2, l3, l4]) AS segments FROM apart WHERE n = {_CHECKPOINTS}
+        UNION ALL SELECT 'overlapping', unnest([0, 1]), unnest([l0, l1]) FROM over WHERE n = {_CHECKPOINTS})
+    SELECT keys, CAST(level AS BIGINT) AS level, CAST(segments AS BIGINT) AS segments FROM rows WHERE segments > 0"""
+)
 def level_counts(spark, sf_dir):
-    stats = maintenance.segment_stats(_log(spark, sf_dir), 100)
-    return stats.groupBy(F.least(F.lit(3).cast("bigint"), F.col("segment") % 4).alias("level")).agg(F.count(F.lit(1)).alias("segments"))
+    """Segments per level after a checkpoint per 100 commits, as the store's own
+    planner lays them out: of ascending keys, and of keys that all overlap."""
+    log = changelog.events(spark, sf_dir).select((F.col("event_id") + 1).alias("commit_ts"), F.format_string("event-%012d", "event_id").alias("key"))
+    stats = maintenance.segment_stats(log, 100).orderBy("segment").collect()  # a row per checkpoint, as in a manifest
+    out = []
+    for keys in ("apart", "overlapping"):
+        files: tuple = ()
+        for r in stats:
+            low, high = (r.min_key, r.max_key) if keys == "apart" else ("event", "event-z")
+            files = manifest.settled((*files, manifest.File(f"{r.segment}", "seg", 0, r.rows, low.encode().hex(), high.encode().hex(), r.min_ts, r.max_ts)))
+        counts = manifest.Manifest(files=files).level_counts()
+        out += [(keys, level, n) for level, n in counts.items()]
+    return spark.createDataFrame(out, "keys string, level bigint, segments bigint")
 
 
 @query(f"SELECT key, count(*) AS removable FROM (SELECT key, lead(commit_ts) OVER (PARTITION BY key ORDER BY commit_ts) AS a FROM {LOG}) WHERE a <= 7000 GROUP BY key")
@@ -173,9 +202,9 @@ def log_ship(spark, sf_dir):
     return replication.shipped(follower, leader)
 
 
-@query("SELECT index, gap FROM (SELECT event_id + 1 AS index, event_id + 1 - lag(event_id + 1) OVER (ORDER BY event_id) AS gap FROM events WHERE event_id % 1000 <> 500) WHERE gap <> 1")
+@query("SELECT index, gap FROM (SELECT event_id + 1 AS index, event_id + 1 - lag(event_id + 1) OVER (ORDER BY event_id) AS gap FROM events WHERE event_type <> 'error') WHERE gap <> 1")
 def log_contiguity(spark, sf_dir):
-    return replication.gaps(changelog.events(spark, sf_dir).where("event_id % 1000 != 500").select((F.col("event_id") + 1).alias("index")))
+    return replication.gaps(changelog.events(spark, sf_dir).where("event_type != 'error'").select((F.col("event_id") + 1).alias("index")))
 
 
 @query(f"SELECT index, term, key, value FROM {_LEADER} WHERE index >= 101 ORDER BY index LIMIT 50")
@@ -193,20 +222,40 @@ def commit_index(spark, sf_dir):
     return replication.commit_index(matches, 5)
 
 
-@query("SELECT c.peer AS candidate, v.peer AS voter, c.term > v.term OR (c.term = v.term AND c.index >= v.index) AS granted FROM (SELECT event_id % 5 AS peer, max(event_id // 100) AS term, max(event_id) AS index FROM events WHERE event_id % 37 <> 0 GROUP BY 1) c JOIN (SELECT event_id % 5 AS peer, max(event_id // 100) AS term, max(event_id) AS index FROM events WHERE event_id % 37 <> 0 GROUP BY 1) v ON c.peer <> v.peer")
+@query("SELECT c.peer AS candidate, v.peer AS voter, c.term > v.term OR (c.term = v.term AND c.index >= v.index) AS granted FROM (SELECT event_id % 5 AS peer, max(event_id // 100) AS term, max(event_id) AS index FROM events GROUP BY 1) c JOIN (SELECT event_id % 5 AS peer, max(event_id // 100) AS term, max(event_id) AS index FROM events GROUP BY 1) v ON c.peer <> v.peer")
 def vote_freshness(spark, sf_dir):
-    tips = changelog.events(spark, sf_dir).where("event_id % 37 != 0").groupBy((F.col("event_id") % 5).alias("peer")).agg(F.max(F.expr("event_id div 100")).alias("term"), F.max("event_id").alias("index"))
+    tips = changelog.events(spark, sf_dir).groupBy((F.col("event_id") % 5).alias("peer")).agg(F.max(F.expr("event_id div 100")).alias("term"), F.max("event_id").alias("index"))
     c, v = tips.alias("c"), tips.alias("v")  # one row per member
     fresh = F.struct("c.term", "c.index") >= F.struct("v.term", "v.index")
     return c.join(v, F.col("c.peer") != F.col("v.peer")).select(F.col("c.peer").alias("candidate"), F.col("v.peer").alias("voter"), fresh.alias("granted"))
 
 
-@query()
+#: CRC-32 of a list of bytes, by the table of its 256 remainders.
+_TABLE = "(SELECT list(list_reduce(range(8), (c, k) -> CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i) ORDER BY i) FROM range(256) t(i))"
+_CRC = "xor(list_reduce(list_transform(range(1, length({0}) // 2 + 1), lambda i: CAST('0x' || substr({0}, CAST(2 * i - 1 AS INT), 2) AS BIGINT)), lambda c, b: xor(c // 256, crc_table[CAST(xor(c, b) & 255 AS INT) + 1]), CAST(4294967295 AS BIGINT)), 4294967295)"
+
+
+@query(
+    f"""WITH t AS (SELECT {_TABLE.replace("(c, k) ->", "lambda c, k:")} AS crc_table),
+    raw AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+    cut AS (SELECT doc_id, h, unnest(range(0, greatest(length(h) // 2, 1), 1024)) AS "offset" FROM raw),
+    parts AS (SELECT doc_id, "offset", substr(h, CAST(2 * "offset" + 1 AS INT), 2048) AS d FROM cut)
+    SELECT doc_id, "offset", length(d) // 2 AS n, {_CRC.format("d")} AS crc32 FROM parts, t"""
+)
 def snapshot_chunks(spark, sf_dir):
     return replication.chunks(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), 1024)
 
 
-@query()
+@query(
+    f"""WITH t AS (SELECT {_TABLE.replace("(c, k) ->", "lambda c, k:")} AS crc_table),
+    entries AS (SELECT key, printf('%02X000000%02X000000', length(key), length(CAST(value AS VARCHAR))) || hex(encode(key)) || hex(encode(CAST(value AS VARCHAR))) AS h FROM {_newest()} WHERE value IS NOT NULL),
+    state AS (SELECT coalesce(string_agg(h, '' ORDER BY key), '') AS d FROM entries)
+    SELECT {_CRC.format("d")} AS crc32 FROM state, t"""
+)
 def state_hash(spark, sf_dir):
     state = resolve.live(resolve.newest(_log(spark, sf_dir))).select("key", F.col("value").cast("string").alias("value"))
     return spark.createDataFrame([(replication.state_hash(state),)], "crc32 bigint")
+
+
+for _name, (_scenario, _sql) in scenarios.SCENARIOS.items():
+    QUERIES[_name], ORACLE[_name] = _scenario, _sql

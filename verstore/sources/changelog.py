@@ -24,6 +24,16 @@ def change_log(events_df: DataFrame, *extra: str) -> DataFrame:
     )
 
 
+def within(events_df: DataFrame, start: str, end: str) -> DataFrame:
+    """The events with start <= key < end, for keys as ``key_of`` makes them.
+
+    The key is computed, so a range of it can't reach the file; as keys have a
+    fixed width, their order is that of user_id, whose range can.
+    """
+    number = lambda key: int(key.removeprefix("user-"))
+    return events_df.where(F.col("user_id").between(number(start), number(end) - 1))
+
+
 def transactions(events_df: DataFrame) -> DataFrame:
     """Five events make a transaction; views and clicks read, the rest write."""
     tx = F.expr("event_id div 5")
