@@ -7,9 +7,11 @@ labelled text and the same text with its identity terms swapped for others of
 their kind, so that a neutral mention of a group moves no score.
 
 Labels come from at most SAMPLE rows per class (a documented bound; the rows
-with the smallest id hashes); scores cover every whole text.
+with the smallest id hashes); scores cover every whole text.  One executor task
+gathers the sample's features and fits; the driver gets the weights alone.
 
-Defined cases: null and empty texts get the score of a text without words;
+Defined cases: a text of any length is scored and trained on whole, by its
+distinct words; null and empty texts get the score of a text without words;
 labels that are null count as none, of repeated labels the greatest holds;
 null doc_ids are scored and held out; without labels of both classes the score
 is 0 for all; an empty table gives no rows; other columns are ignored.
@@ -30,9 +32,10 @@ from . import common
 
 #: Labelled rows per class used for training, at most.
 SAMPLE = {1: 4000, 0: 8000}
-#: Feature buckets; the penalty on score changes; the L1 weight; the threshold.
-BUCKETS, COUNTERFACTUAL, LASSO, THRESHOLD = 1 << 20, 4.0, 2e-4, 0.3
-CACHED = 400_000
+#: Feature buckets; the penalty on score changes; the L1 and L2 weights; the threshold.
+BUCKETS, COUNTERFACTUAL, LASSO, RIDGE, THRESHOLD = 1 << 20, 4.0, 2e-4, 1e-4, 0.3
+#: Buckets chosen by their difference between the classes, at most; words a worker keeps.
+STRONGEST, CACHED = 20_000, 400_000
 
 #: Identity terms by kind; a swap stays within its kind.
 IDENTITIES = {
@@ -91,8 +94,8 @@ class Sparse:
 
     def __init__(self, rows: list[np.ndarray]):
         self.n = len(rows)
-        self.row = np.repeat(np.arange(self.n), [len(r) for r in rows])
-        self.col = np.concatenate(rows) if rows else np.zeros(0, dtype=np.int64)
+        self.row = np.repeat(np.arange(self.n, dtype=np.int32), [len(r) for r in rows])
+        self.col = np.concatenate(rows).astype(np.int32) if rows else np.zeros(0, dtype=np.int32)
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, w[self.col], self.n)
@@ -101,34 +104,47 @@ class Sparse:
         return np.bincount(self.col, r[self.row], width)
 
 
-def fit(y: np.ndarray, own: list[np.ndarray], twins: list[np.ndarray | None], prior: float, steps: int = 400) -> tuple[np.ndarray, np.ndarray, float]:
-    """Chosen buckets, their weights and the intercept at the true share prior."""
-    if not len(y) or y.min() == y.max():
-        return np.zeros(0, dtype=np.int64), np.zeros(0), -np.inf
+def strongest(y: np.ndarray, own: list[np.ndarray]) -> np.ndarray:
+    """Buckets whose shares of the two classes' rows differ, and the identity terms'."""
     df = [np.zeros(BUCKETS), np.zeros(BUCKETS)]
     for label, row in zip(y, own):
         df[label][np.unique(row)] += 1
     n1, n0 = int(y.sum()), int(len(y) - y.sum())
     share = (df[1] + df[0]) / len(y)
     z = (df[1] / n1 - df[0] / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n1 + 1 / n0))
-    named = np.unique([b for w in SWAP for b in features(w)])
     strong = np.flatnonzero((np.abs(z) >= 4) & (df[1] + df[0] >= 5))
-    chosen = np.union1d(strong[np.argsort(-np.abs(z[strong]), kind="stable")[:20_000]], named)
-    slot = np.full(BUCKETS, -1, dtype=np.int64)
+    return np.union1d(strong[np.argsort(-np.abs(z[strong]), kind="stable")[:STRONGEST]], np.unique([b for w in SWAP for b in features(w)]))
+
+
+def objective(y: np.ndarray, x: Sparse, here: Sparse, there: Sparse, w: np.ndarray, b: float) -> tuple[float, np.ndarray, float]:
+    """Log loss + ridge + COUNTERFACTUAL x mean squared score change of the swapped
+    rows (here) and their twins (there), with its gradients by w and b."""
+    s = x.dot(w) + b
+    r = (1 / (1 + np.exp(-np.clip(s, -40, 40))) - y) / len(y)
+    loss = float((np.logaddexp(0, s) - y * s).mean()) + RIDGE / 2 * float(w @ w)
+    g = x.back(r, len(w)) + RIDGE * w
+    if here.n:
+        change = here.dot(w) - there.dot(w)
+        loss += COUNTERFACTUAL * float((change**2).mean())
+        g += 2 * COUNTERFACTUAL / here.n * (here.back(change, len(w)) - there.back(change, len(w)))
+    return loss, g, float(r.sum())
+
+
+def fit(y: np.ndarray, own: list[np.ndarray], twins: list[np.ndarray | None], prior: float, steps: int = 400) -> tuple[np.ndarray, np.ndarray, float]:
+    """Chosen buckets, their weights and the intercept at the true share prior."""
+    if not len(y) or y.min() == y.max():
+        return np.zeros(0, dtype=np.int64), np.zeros(0), -np.inf
+    chosen = strongest(y, own)
+    slot = np.full(BUCKETS, -1, dtype=np.int32)
     slot[chosen] = np.arange(len(chosen))
     narrow = lambda r: (s := slot[r])[s >= 0]
-    x, pairs = Sparse([narrow(r) for r in own]), [i for i, t in enumerate(twins) if t is not None]
-    here, there = Sparse([narrow(own[i]) for i in pairs]), Sparse([narrow(twins[i]) for i in pairs])
-    size = np.ones(len(y))
+    pairs = [i for i, t in enumerate(twins) if t is not None]
+    x, here, there = Sparse([narrow(r) for r in own]), Sparse([narrow(own[i]) for i in pairs]), Sparse([narrow(twins[i]) for i in pairs])
+    n1, n0 = int(y.sum()), int(len(y) - y.sum())
     w, b, width = np.zeros(len(chosen)), float(np.log(n1 / n0)), len(chosen)
     m, v, mb, vb = np.zeros(width), np.zeros(width), 0.0, 0.0
     for t in range(1, steps + 1):  # Adam, then the L1 shrinkage
-        p = 1 / (1 + np.exp(-np.clip(x.dot(w) + b, -40, 40)))
-        r = (p - y) * size / len(y)
-        g, gb = x.back(r, width) + 1e-4 * w, float(r.sum())
-        if pairs:
-            change = here.dot(w) - there.dot(w)
-            g += 2 * COUNTERFACTUAL / len(pairs) * (here.back(change, width) - there.back(change, width))
+        _, g, gb = objective(y, x, here, there, w, b)
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         rate = 0.05 * (1 - t / (steps + 1))
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -138,17 +154,32 @@ def fit(y: np.ndarray, own: list[np.ndarray], twins: list[np.ndarray | None], pr
     return chosen[w != 0], w[w != 0], b
 
 
+def _fitted(batches: Iterator[pa.RecordBatch], prior: float) -> Iterator[pa.RecordBatch]:
+    """The weights of the rows of labelled, with the intercept as bucket -1."""
+    y, own, twins = [], [], []
+    for batch in batches:
+        y += batch.column("toxic").to_pylist()
+        for into, name in ((own, "own"), (twins, "twin")):
+            lists = batch.column(name)
+            values, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+            into += [values[a:b].copy() if ok else None for a, b, ok in zip(ends[:-1], ends[1:], lists.is_valid().to_numpy(zero_copy_only=False))]
+    order = sorted(range(len(y)), key=lambda i: (y[i], own[i].tobytes()))  # sums don't depend on the order of arrival
+    chosen, weights, intercept = fit(np.array(y, dtype=np.int64)[order], [own[i] for i in order], [twins[i] for i in order], prior)
+    yield pa.RecordBatch.from_arrays([pa.array([-1, *chosen.tolist()], pa.int64()), pa.array([intercept, *weights.tolist()], pa.float64())], names=["bucket", "weight"])
+
+
 def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
+    """Buckets, weights and intercept; at most STRONGEST rows (and the identity
+    terms') come to the driver."""
     share = labels.where(F.col("toxic").isNotNull() & ~common.held_out()).agg(F.avg((F.col("toxic") > 0).cast("double"))).first()[0]
-    got = labelled(docs, labels).toArrow()
-    y = got.column("toxic").to_numpy().astype(np.int64)
-    order = np.arange(len(y))
-    own = [np.asarray(v.values, dtype=np.int64) for v in got.column("own")] if len(y) else []
-    twins = [np.asarray(v.values, dtype=np.int64) if v.is_valid else None for v in got.column("twin")] if len(y) else []
-    if not len(y) or not 0 < (share or 0) < 1:
+    if not 0 < (share or 0) < 1:
         return np.zeros(0, dtype=np.int64), np.zeros(0), -np.inf
-    order = sorted(order, key=lambda i: (y[i], own[i].tobytes()))  # sums don't depend on the order of arrival
-    return fit(y[order], [own[i] for i in order], [twins[i] for i in order], share)
+    # one partition: at most sum(SAMPLE) rows
+    rows = labelled(docs, labels).repartition(1).mapInArrow(lambda batches: _fitted(batches, share), "bucket bigint, weight double").collect()
+    got = {r.bucket: r.weight for r in rows}
+    intercept = got.pop(-1, -np.inf)  # none: no labelled row has a text
+    chosen = np.array(sorted(got), dtype=np.int64)
+    return chosen, np.array([got[b] for b in chosen.tolist()], dtype=np.float64), intercept
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], into: tuple[str, str] = ("score", "predicted")) -> DataFrame:
