@@ -33,7 +33,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -46,10 +46,10 @@ PERCENT = 85
 BROADCAST_IDS = 1_000_000
 #: Bits of a set's parity sketch; shingles gathered before they are signed.
 SKETCH, HELD = 2048, 1_500_000
-#: Rounds of stars, then of nearest partners in crowded keys.
-STARS, NEAREST = 1, 1
 #: Sets from which a key counts as crowded; sets per block of sketches there.
 CROWD, BLOCK = 48, 4096
+#: Edges that one task contracts to a forest.
+TREE = 250_000
 
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 _BASE = 0x5851F42D4C957F2D
@@ -269,7 +269,8 @@ def only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
 
 def possible(rows: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs that their sketches don't rule out: the sets differ in as many
-    elements as the sketches in bits, at least."""
+    elements as the sketches in bits, at least.  An id that rows repeat has
+    more than one sketch; its pairs come as often as these leave them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -282,7 +283,7 @@ def possible(rows: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataF
 
     sketch = rows.select("doc_id", "n_shingles", "sketch").where("doc_id IS NOT NULL")
     both = pairs.join(sketch.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sketch_a")), "a").join(sketch.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sketch_b")), "b")
-    return both.select("a", "b", (F.col("na") + F.col("nb")).alias("total"), "sketch_a", "sketch_b").mapInArrow(run, "a bigint, b bigint").distinct()
+    return both.select("a", "b", (F.col("na") + F.col("nb")).alias("total"), "sketch_a", "sketch_b").mapInArrow(run, "a bigint, b bigint")
 
 
 def crowded(rows: DataFrame, groups: DataFrame, nearest: bool = False, percent: int = PERCENT) -> DataFrame:
@@ -348,9 +349,40 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int = WORDS, percent: int
     return common.stored(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint"))
 
 
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Union-find over a task's edges: each node but the smallest with the
+    smallest node of its tree."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+            a, b = root(a), root(b)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    nodes = list(parent)
+    for k in range(0, len(nodes), 1 << 16):
+        part = [(x, r) for x in nodes[k : k + (1 << 16)] if (r := root(x)) != x]
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in part], pa.int64()), pa.array([r for _, r in part], pa.int64())], names=["a", "b"])
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """node, label: the smallest node reachable; every edge's end has a row."""
-    both = common.stored(edges.select("a", "b").union(edges.select("b", "a")).where("a != b").distinct())
+    """node, label: the smallest node reachable, for every node with a smaller
+    one; edges is a stored table, which is read twice.
+
+    Each task first contracts TREE edges or so to a forest.  If that was all in
+    one task, its trees are the components; else labels go over the forests'
+    edges, with pointer jumping, until none changes.
+    """
+    tasks = max(1, -(-edges.count() // TREE))
+    forest = edges.select("a", "b").where("a != b").coalesce(tasks).mapInArrow(_forest, "a bigint, b bigint")
+    if tasks == 1:
+        return common.stored(forest.select(F.col("a").alias("node"), F.col("b").alias("label")))
+    both = common.stored(forest.unionAll(forest.select("b", "a")).distinct())
     labels = common.stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
@@ -359,7 +391,20 @@ def components(edges: DataFrame) -> DataFrame:
         step = common.stored(step.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("far", "label")).alias("label")))
         labels = step.select("node", "label")
         if step.where("old != label").isEmpty():
-            return labels
+            return labels.where("node != label")
+
+
+def sent(few: DataFrame) -> DataFrame:
+    """A stored table for a join: broadcast up to BROADCAST_IDS rows."""
+    return F.broadcast(few) if few.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else few
+
+
+def unsettled(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of keys whose sets lie in several components, with label and
+    the key's size.  Keys are summed up apart, so a hot one can be split."""
+    labelled = shared.join(sent(labels.withColumnRenamed("node", "id")), "id", "left").select("key", "id", "n", "role", F.coalesce("label", "id").alias("label"))
+    keys = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size")).where("low != high").select("key", "size")
+    return common.stored(labelled.join(keys, "key"))
 
 
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -374,39 +419,31 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     repeated = known.join(classes.select(*mark, "rep"), mark).groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("z"), F.collect_set("rep").alias("reps")).where("b != z").select(F.explode("reps").alias("a"), "b")
 
     signed = docs.mapInArrow(lambda batches: _signed(batches, words, percent), "key bigint, id bigint, n int, role tinyint")
-    from pyspark.sql import Window
-
     by_key = Window.partitionBy("key")
-    shared = signed.withColumn("c", F.count(F.lit(1)).over(by_key)).where("c > 1").drop("c")
-    shared = common.stored(shared.where("id IS NOT NULL"))
-
-    def star(groups: DataFrame, turn: int) -> DataFrame:
-        """Each set with one other of its key, of another component."""
-        hub = F.min_by(F.struct("id", "n", "label"), F.xxhash64("id", F.lit(turn)))
-        stars = groups.withColumn("h", hub.over(by_key))
-        stars = stars.where((F.col("h.label") != F.col("label")) & (100 * F.least("n", "h.n") >= percent * F.greatest("n", "h.n")))
-        return stars.groupBy(F.col("id").alias("a")).agg(F.min("h.id").alias("b"))
-
-    edges, groups = repeated, shared.withColumn("label", F.col("id"))
-    for turn in range(STARS + NEAREST):
-        tried = possible(rows, star(groups, turn), percent) if turn < STARS else crowded(rows, groups.where(F.col("size") > CROWD), True, percent)
-        found = verified(docs, tried, words, percent)
-        edges = common.stored(edges.unionByName(found))
-        labels = components(edges)
-        labelled = shared.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-        groups = labelled.withColumn("low", F.min("label").over(by_key)).withColumn("high", F.max("label").over(by_key)).withColumn("size", F.count(F.lit(1)).over(by_key))
-        groups = common.stored(groups.where("low != high").drop("low", "high"))
-    few = groups.where(F.col("size") <= CROWD)
+    hub = F.min_by(F.struct("id", "n"), F.xxhash64("id")).over(by_key)
+    shared = common.stored(signed.withColumn("c", F.count(F.lit(1)).over(by_key)).withColumn("hub", hub).where("c > 1").drop("c"))
+    crowds = F.col("size") > CROWD
+
+    # each set with one other of its key
+    stars = shared.where(f"hub.id != id AND 100 * least(n, hub.n) >= {percent} * greatest(n, hub.n)").groupBy(F.col("id").alias("a")).agg(F.min("hub.id").alias("b"))
+    edges = common.stored(repeated).unionByName(verified(docs, possible(rows, stars, percent), words, percent))
+    groups = unsettled(shared, components(edges))
+    if not groups.where(crowds).isEmpty():  # the nearest ones first
+        edges = edges.unionByName(verified(docs, crowded(rows, groups.where(crowds), True, percent), words, percent))
+        groups = unsettled(shared, components(edges))
+    few = groups.where(~crowds)
     probing = few.where("role >= 2").select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
     indexed = few.where("role % 2 = 1").select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
     rest = probing.join(indexed, "key").where(f"la != lb AND nb <= na AND 100 * nb >= {percent} * na").select("a", "b").distinct()
-    rest = possible(rows, rest, percent).unionByName(crowded(rows, groups.where(F.col("size") > CROWD), percent=percent)).distinct()
-    edges = common.stored(edges.unionByName(verified(docs, rest, words, percent)))
+    rest = possible(rows, rest, percent)
+    if not groups.where(crowds).isEmpty():
+        rest = rest.unionByName(crowded(rows, groups.where(crowds), percent=percent)).distinct()
+    edges = edges.unionByName(verified(docs, rest, words, percent))
     # a set signs under any of its copies' ids: tie them to the class
     signers = edges.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     ties = known.join(signers, "doc_id", "left_semi").join(classes.where("copies > 1").select(*mark, "rep"), mark).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    labels = components(common.stored(edges.unionByName(ties)))
-    of_class = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(*mark, F.coalesce("label", "rep").alias("component_id"))
+    labels = components(edges.unionByName(common.stored(ties)))
+    of_class = classes.join(sent(labels.withColumnRenamed("node", "rep")), "rep", "left").select(*mark, F.coalesce("label", "rep").alias("component_id"))
     return rows.join(of_class, mark, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
