@@ -5,6 +5,7 @@
 resamples by a polyphase filter, takes overlapped log-mel frames, cuts them
 into PATCH-frame tensors of one shape (Arrow's fixed-shape tensor type, as IPC
 bytes) with time spans, and segments the signal by energy with hysteresis.
+The query writes the tensors too, and reads back what it says of them.
 
 Defined cases: null and empty texts are 64 zero bytes; long texts are worked
 on in blocks of frames; each text is worked on by itself, so equal texts have
@@ -172,5 +173,35 @@ def features(media: DataFrame, with_tensors: bool = False) -> DataFrame:
     return media.select("doc_id", "n_bytes", "media").mapInArrow(run, FEATURES + ", tensors binary" * with_tensors)
 
 
+def stored_tensors(media: DataFrame) -> DataFrame:
+    """features with tensors, written to the shared folder."""
+    return common.stored(features(media, with_tensors=True))
+
+
+def patches(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The patches of stored tensors, n x PATCH x MELS, and their time spans, n x 2."""
+    batch = pa.ipc.open_stream(raw).read_next_batch()
+    return batch.column("patch").to_numpy_ndarray(), np.stack([batch.column("start_s").to_numpy(), batch.column("end_s").to_numpy()], axis=1)
+
+
+def described(kept: DataFrame) -> DataFrame:
+    """Stored features with n_patches, tensor_crc32 and loudest (the patch with
+    the greatest mean) in place of the tensors, as read back."""
+    names = [f.split(" ")[0] for f in FEATURES.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, crc, loudest = [], [], []
+            for raw in batch.column("tensors"):
+                raw = raw.as_py()
+                patch, _ = patches(raw)
+                n.append(len(patch))
+                crc.append(zlib.crc32(raw))
+                loudest.append(int(patch.mean(axis=(1, 2), dtype=np.float32).argmax()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(loudest, pa.int64())], names=[*names, "n_patches", "tensor_crc32", "loudest"])
+
+    return kept.select(*names, "tensors").mapInArrow(run, FEATURES + ", n_patches bigint, tensor_crc32 bigint, loudest bigint")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features(store(common.table(spark, sf_dir, "documents")))
+    return described(stored_tensors(store(common.table(spark, sf_dir, "documents"))))
