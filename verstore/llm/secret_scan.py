@@ -1,27 +1,30 @@
 """Operator 8, secret scans: rules, and a character CNN over candidates.
 
-Rules find assignments, access keys and hex strings; their spans all stay.  A
-further candidate is any unbroken run of 20 or more key characters with both
-letters and digits.  A small convolutional network (numpy) reads each
-candidate with CONTEXT characters on either side and adds those above its
-threshold as kind ``model``.  Candidates longer than BODY are read in windows
-that overlap, STEP apart, and count by their likeliest window.
+Rules find assignments, access keys and hex strings; their spans all stay.
+Further candidates are all unbroken runs of LEAST or more key characters with
+letters and digits, or with letters of both cases amid them.  A small
+convolutional network (numpy) reads every candidate, the rules' too, with
+CONTEXT characters on either side: it adds further ones above its threshold as
+kind ``model`` and gives each span its calibrated probability.  Candidates
+longer than BODY are read in windows that overlap, STEP apart, and count by
+their likeliest window.
 
 The network is trained on labelled findings that ``labelled_findings`` makes
 from a seed (secrets and look-alikes in varied contexts), Platt-calibrated on
-its own split, with the highest threshold that keeps RECALL of that split's
-secrets.
+a second split, with the highest threshold that keeps RECALL of a third
+split's secrets.
 
 Defined cases: null and empty texts have no spans (the digest of the empty
-string); null doc_ids and repeated rows are kept; candidates that lie wholly
-in rules' spans add nothing, others are read whole and may overlap rules'
-spans; an empty table gives no rows; other columns are kept
+string); a text of any length is read whole; null doc_ids and repeated rows are
+kept; candidates that lie wholly in rules' spans add none, others may overlap
+rules' spans; an empty table gives no rows; other columns are kept
 by ``scan`` and ignored by the query.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 import itertools
 import random
@@ -37,7 +40,10 @@ from . import common
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # the maximal runs, as the shorter ones fail
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+#: Characters of a further candidate, at least.
+LEAST = 20
+CANDIDATE = re.compile(rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{LEAST},}}")
+MIXED = re.compile(r"[0-9].*[A-Za-z]|[A-Za-z].*[0-9]|[a-z][A-Z].*[a-z][A-Z]").search
 KINDS = ("assign", "access", "hex", "model")
 
 CONTEXT, BODY, STEP = 24, 48, 8
@@ -59,7 +65,8 @@ def rule_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    return [m.span() for m in CANDIDATE.finditer(text) if re.search("[0-9]", m.group()) and re.search("[A-Za-z]", m.group())]
+    """A run of capitals after a small letter, or a digit beside letters."""
+    return [m.span() for m in CANDIDATE.finditer(text) if MIXED(m.group())]
 
 
 def _class_table() -> np.ndarray:
@@ -131,7 +138,7 @@ def labelled_findings(n: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]
     for i in range(n):
         label = i % 2
         body = secret() if label else plain()
-        while len(body) < 20:
+        while len(body) < LEAST:
             body += secret() if label else word()
         front, back = "", ""
         if label and rng.random() < 0.3:
@@ -202,22 +209,28 @@ class CharCNN:
                     p -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
 
     def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
-        """Platt scaling, then the highest threshold that keeps RECALL."""
+        """Platt scaling."""
         raw = self.raw(x)
         for _ in range(300):
             r = 1 / (1 + np.exp(-np.clip(self.scale * raw + self.shift, -40, 40))) - y
             self.scale -= 0.1 * float((r * raw).mean())
             self.shift -= 0.1 * float(r.mean())
+
+    def constrain(self, x: np.ndarray, y: np.ndarray) -> None:
+        """The highest threshold that keeps RECALL of the secrets."""
         secrets = np.sort(self.probability(x[y == 1]))
         self.threshold = float(secrets[int((1 - RECALL) * len(secrets))])
 
 
-def train(n: int = 4000) -> CharCNN:
+def train(n: int = 4800) -> CharCNN:
+    """Fitted on five eighths of n findings, calibrated on half of the others,
+    its threshold set on the rest."""
     x, y = labelled_findings(n)
-    cut = n * 3 // 4
+    a, b = n * 5 // 8, n * 13 // 16
     model = CharCNN()
-    model.fit(x[:cut], y[:cut])
-    model.calibrate(x[cut:], y[cut:])
+    model.fit(x[:a], y[:a])
+    model.calibrate(x[a:b], y[a:b])
+    model.constrain(x[b:], y[b:])
     return model
 
 
@@ -225,26 +238,39 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def covered(span: tuple[int, int], spans: list[tuple[int, int, int]]) -> bool:
-    """Whether the sorted spans hold all of span."""
-    at = span[0]
-    for a, _, b in spans:
-        if a <= at < b:
-            at = b
-    return at >= span[1]
+def uncovered(spans: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The spans, in ascending order, that sorted base spans don't wholly hold."""
+    merged: list[list[int]] = []
+    for a, _, b in base:
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], b)
+        else:
+            merged.append([a, b])
+    starts = [a for a, _ in merged]
+    return [s for s in spans if (k := bisect.bisect_right(starts, s[0])) == 0 or merged[k - 1][1] < s[1]]
 
 
-def found(texts: list[str], model: CharCNN) -> tuple[list, list]:
-    """The rules' spans and all spans (start, kind, end) of each text."""
+def scored(texts: list[str], model: CharCNN) -> tuple[list, list]:
+    """The rules' spans of each text, and all its spans as (start, kind, end,
+    probability)."""
     base = [rule_spans(t) for t in texts]
-    free = [(i, s) for i, t in enumerate(texts) for s in candidates(t) if not covered(s, base[i])]
-    every = [list(b) for b in base]
-    for (i, (a, b)), p in zip(free, likeliest(texts, free, model)):
-        if p >= model.threshold:
-            every[i].append((a, 3, b))
+    read = [(i, (a, b), kind) for i, own in enumerate(base) for a, kind, b in own]
+    read += [(i, s, 3) for i, t in enumerate(texts) for s in uncovered(candidates(t), base[i])]
+    every: list[list] = [[] for _ in texts]
+    order = sorted(range(len(read)), key=lambda k: read[k][0])
+    read = [read[k] for k in order]
+    for (i, (a, b), kind), p in zip(read, likeliest(texts, [(i, s) for i, s, _ in read], model).tolist()):
+        if kind < 3 or p >= model.threshold:
+            every[i].append((a, kind, b, p))
     return base, [sorted(e) for e in every]
 
 
+def found(texts: list[str], model: CharCNN) -> tuple[list, list]:
+    """The rules' spans and all spans (start, kind, end) of each text."""
+    base, every = scored(texts, model)
+    return base, [[s[:3] for s in e] for e in every]
+
+
 def likeliest(texts: list[str], free: list[tuple[int, tuple[int, int]]], model: CharCNN, at_once: int = 4096) -> np.ndarray:
     """The greatest probability over each candidate's windows."""
     out = np.zeros(len(free))
@@ -255,27 +281,37 @@ def likeliest(texts: list[str], free: list[tuple[int, tuple[int, int]]], model:
     return out
 
 
-OUT = ("n_assign", "n_access", "n_hex", "base_sha256", "spans")
+OUT = ("n_assign", "n_access", "n_hex", "base_sha256", "spans", "probabilities")
 
 
 def scan(docs: DataFrame, model: CharCNN | None = None) -> DataFrame:
-    """docs with n_assign, n_access, n_hex, base_sha256 and spans, which
-    replace columns of the same names."""
+    """docs with n_assign, n_access, n_hex, base_sha256, spans and the spans'
+    probabilities, which replace columns of the same names."""
     model, docs = model or train(), docs.drop(*OUT)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in common.pieces(batch, "text"):
-                base, every = found(common.texts_of(part), model)
+                base, every = scored(common.texts_of(part), model)
                 counts = [pa.array([sum(k == kind for _, k, _ in b) for b in base], pa.int64()) for kind in range(3)]
                 digests = pa.array([hashlib.sha256(joined(b).encode()).hexdigest() for b in base])
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *counts, digests, pa.array([joined(e) for e in every])], names=[*names, *OUT])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *counts, digests, pa.array([joined([s[:3] for s in e]) for e in every]), pa.array([[s[3] for s in e] for e in every], pa.list_(pa.float64()))], names=[*names, *OUT])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), "n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), "n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, probabilities array<double>"])
     return docs.mapInArrow(run, schema)
 
 
+def blanked(text: str, spans: list[tuple[int, int, int]]) -> str:
+    """text with asterisks in the place of sorted spans, which may overlap."""
+    out, at = [], 0
+    for a, _, b in spans:
+        if b > at:
+            out += [text[at:a], "*" * (b - max(a, at))]
+            at = b
+    return "".join([*out, text[at:]])
+
+
 def masked(docs: DataFrame, model: CharCNN | None = None) -> DataFrame:
     """docs with each found span of text replaced by as many asterisks."""
     model, names = model or train(), docs.columns
@@ -285,8 +321,8 @@ def masked(docs: DataFrame, model: CharCNN | None = None) -> DataFrame:
             for part in common.pieces(batch, "text"):
                 texts = part.column("text").to_pylist()
                 for i, spans in enumerate(found([t or "" for t in texts], model)[1]):
-                    for a, _, b in spans:
-                        texts[i] = texts[i][:a] + "*" * (b - a) + texts[i][b:]
+                    if spans:
+                        texts[i] = blanked(texts[i], spans)
                 yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else part.column(c) for c in names], names=names)
 
     return docs.mapInArrow(run, docs.schema)
