@@ -16,7 +16,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +30,31 @@ from . import common
 END_ID = 2
 #: Ids per block, at least (a document is never cut), and between checkpoints.
 BLOCK_IDS, CHECKPOINT = 1 << 18, 128
-#: Words whose ids a worker keeps; it starts anew beyond that.
-CACHED = 500_000
+#: Words, and chunks, whose ids a worker keeps, twice.
+CACHED = 400_000
 
 
-class ChunkIds(dict):
+class Kept(dict):
+    """Values made once and kept, in two generations of at most CACHED: the
+    frequent ones move to the new one, the others go with the old."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        super().__init__()
+        self.make, self.old = make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) < 64:
+            if len(self) >= CACHED:
+                self.old = self.copy()
+                self.clear()
+            self[key] = value
+        return value
+
+
+class ChunkIds(Kept):
     """Ids (as bytes) of text chunks without spaces and line feeds.
 
     No token of this tokenizer crosses white space and no piece of it depends
@@ -46,8 +67,8 @@ class ChunkIds(dict):
     def __init__(self, path: str, dtype: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
-        self.tokenizer, self.dtype, self.words = Tokenizer.from_file(path), dtype, {}
+        super().__init__(self.ids_of)
+        self.tokenizer, self.dtype, self.words = Tokenizer.from_file(path), dtype, Kept(self.word)
         self.runs = re.compile("[a-z]+|[0-9]|[^a-z0-9]+").findall
         # the byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
@@ -56,38 +77,26 @@ class ChunkIds(dict):
         samples = ("abcq", "the.", "12ab$$x", "éàüßq", "Ñandú", "ªº", "x,y.", "ABC")
         self.specials = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.fast = all(self.encode(s) == self.encode(s.lower()) == self.assembled(s.lower()) for s in samples)
-        self[""] = b""
 
     def encode(self, chunk: str) -> bytes:
         return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
     def word(self, run: str) -> bytes:
         """Ids of a run of letters, of marks, or of one digit (lower case, Latin-1)."""
-        ids = self.words.get(run)
-        if ids is None:
-            if len(self.words) >= CACHED:
-                self.words.clear()
-            mapped = run if run.isascii() else run.encode().decode("latin-1").translate(self.alphabet)
-            ids = self.words[run] = np.array([t.id for t in self.tokenizer.model.tokenize(mapped)], dtype=self.dtype).tobytes()
-        return ids
+        mapped = run if run.isascii() else run.encode().decode("latin-1").translate(self.alphabet)
+        return array(self.dtype[1:] == "u2" and "H" or "I", [t.id for t in self.tokenizer.model.tokenize(mapped)]).tobytes()
 
     def assembled(self, chunk: str) -> bytes:
         """Ids of a chunk in lower case from its runs, where these are plain."""
         body = chunk[:-1] if chunk[-1] in ".," else chunk
-        if body.isalpha() and body.islower() and max(body) < "\u0100":
-            return self.word(body) if body is chunk else self.word(body) + self.word(chunk[-1])
+        if body.isalpha() and body.islower() and (body.isascii() or max(body) < "\u0100"):
+            return self.words[body] if body is chunk else self.words[body] + self.words[chunk[-1]]
         if chunk.isascii() and chunk.isprintable() and "'" not in chunk:
-            return b"".join(map(self.word, self.runs(chunk)))
+            return b"".join(map(self.words.__getitem__, self.runs(chunk)))
         return self.encode(chunk)
 
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.assembled(chunk) if self.fast else self.encode(chunk)
-        if len(self) >= CACHED:
-            self.clear()
-            self[""] = b""
-        if len(chunk) < 64:
-            self[chunk] = ids
-        return ids
+    def ids_of(self, chunk: str) -> bytes:
+        return b"" if not chunk else self.assembled(chunk) if self.fast else self.encode(chunk)
 
 
 def token_bytes(chunks: ChunkIds, text: str) -> bytes:
@@ -268,7 +277,8 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int | None = END_ID, ou
 
     spark.createDataFrame(pd.DataFrame({"id": ids, "length": lengths}), "id bigint, length bigint").coalesce(1).write.parquet(f"{out}/codebook")
     # repeated ids sort by their bytes, so that a task that runs again makes the same shard
-    ordered = rows.where("n_tokens >= 0").select("doc_id", "n_tokens", "ids").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
+    # (and are dealt by their first bytes, in the same order, so that many rows without an id aren't one task)
+    ordered = rows.where("n_tokens >= 0").select("doc_id", "n_tokens", "ids").repartitionByRange("doc_id", F.substring("ids", 1, 24)).sortWithinPartitions("doc_id", "ids")
     ordered.mapInArrow(_blocks(Codec(ids, lengths), dtype), BLOCKS).write.option("compression", "none").parquet(f"{out}/blocks")
     return out
 
