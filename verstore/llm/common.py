@@ -31,14 +31,27 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
     return F.coalesce(fold(doc_id) == HELD_OUT, F.lit(True))
 
 
+def fresh(docs: DataFrame, *names: str) -> tuple[str, ...]:
+    """The names, with marks behind those that docs has (in any case)."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return tuple(out)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder under spark.checkpoint.dir, which all executors share.
 
-    Only where the session leaves that setting empty (tests, one machine) is a
-    temporary folder chosen, once per session.
+    Only where the session leaves that setting empty and is local (tests, one
+    machine) is a temporary folder chosen, once per session.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="verstore-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/verstore-{uuid.uuid4().hex}"

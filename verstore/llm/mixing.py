@@ -7,12 +7,13 @@ slots each source has had w*t blocks, off by less than one.
 
 Weights are taken as exact fractions and never rounded, so the bound holds over
 a whole phase.  The driver takes one step per block (rows / BLOCK) and keeps 8
-bytes for each.  When a source ends, the others' weights are scaled up and a
+bytes for each; sources are as few as fit there with a row each.  When a source ends, the others' weights are scaled up and a
 new phase begins; so all rows are scheduled, each once.
 
-A row's number within its source comes from its id's hash: counted by (source,
-hash range), summed up over ranges, then numbered within each range, so that a
-source with most of all rows is never in one task.
+A row's number within its source comes from its hash (of all columns, so that
+rows without an id are spread too): counted by (source, hash range), summed up
+over ranges, then numbered within each range, so that a source with most of
+all rows is never in one task.
 
 Defined cases: a null source is a source of its own; null ids and repeated
 rows are kept (equal rows in any order); weights default to each source's
@@ -32,6 +33,7 @@ from math import floor, lcm
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from . import common
 
@@ -122,20 +124,22 @@ def schedule(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, i
     weights = {s: weights.get(s) or low for s in sizes}
     plan = block_slots({s: -(-n // block) for s, n in sizes.items()}, weights)
     ranges = max(1, -(-max(sizes.values(), default=1) // RANGE_ROWS))
-    # one key for the window and the join, so that whole rows move once
-    rows = docs.withColumn("_h", F.xxhash64("doc_id")).withColumn("_r", F.pmod(F.shiftrightunsigned("_h", 20), F.lit(ranges))).withColumn("_k", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("")))
-    before = rows.groupBy("_k", "_r").agg(F.count(F.lit(1)).alias("_n"))
-    before = before.select("_k", "_r", (F.sum("_n").over(Window.partitionBy("_k").orderBy("_r")) - F.col("_n")).alias("_before"))
-    inside = Window.partitionBy("_k", "_r").orderBy("_h", "doc_id", *(c for c in ("text",) if c in docs.columns))
-    rows = rows.withColumn("_i", F.row_number().over(inside) - 1).join(before, ["_k", "_r"]).withColumn("_at", F.col("_before") + F.col("_i"))
-    rows = rows.withColumn("_blk", F.expr(f"_at div {block}")).withColumn("_plc", F.col("_at") % block)
+    # the row as one column, so that no name of it clashes; one key for the window and the join, so that whole rows move once
+    hashed = ["doc_id", *(f.name for f in docs.schema.fields if f.name != "doc_id" and not isinstance(f.dataType, MapType))]
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(*hashed).alias("h"), "source", F.col("doc_id").alias("id"), F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("")).alias("k"))
+    rows = rows.withColumn("r", F.pmod(F.shiftrightunsigned("h", 20), F.lit(ranges)))
+    before = rows.groupBy("k", "r").agg(F.count(F.lit(1)).alias("n"))
+    before = before.select("k", "r", (F.sum("n").over(Window.partitionBy("k").orderBy("r")) - F.col("n")).alias("before"))
+    inside = Window.partitionBy("k", "r").orderBy("h", "id", *(f"row.{c}" for c in ("text",) if c in docs.columns))
+    rows = rows.withColumn("i", F.row_number().over(inside) - 1).join(before, ["k", "r"]).withColumn("at", F.col("before") + F.col("i"))
+    rows = rows.withColumn("blk", F.expr(f"at div {block}")).withColumn("plc", F.col("at") % block)
     parts = [(s, c, at[c * CHUNK : (c + 1) * CHUNK]) for s, at in plan.items() for c in range(-(-len(at) // CHUNK))]
     columns = [pa.array(x, t) for x, t in zip(zip(*parts) if parts else ([], [], []), (pa.string(), pa.int64(), pa.list_(pa.int64())))]
-    table = spark.createDataFrame(pa.Table.from_arrays(columns, names=["_p_source", "_p_chunk", "_p_at"]))
+    table = spark.createDataFrame(pa.Table.from_arrays(columns, names=["p_source", "p_chunk", "p_at"]))
     # 8 bytes per block of BLOCK rows
-    rows = rows.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("_p_source")) & (F.expr(f"_blk div {CHUNK}") == F.col("_p_chunk")))
-    slot = F.element_at("_p_at", (F.col("_blk") % CHUNK + 1).cast("int"))
-    return rows.select(*docs.columns, F.col("_blk").alias(into[0]), slot.cast("bigint").alias(into[1]), F.col("_plc").cast("int").alias(into[2]))
+    rows = rows.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("p_source")) & (F.expr(f"blk div {CHUNK}") == F.col("p_chunk")))
+    slot = F.element_at("p_at", (F.col("blk") % CHUNK + 1).cast("int"))
+    return rows.select("row.*", F.col("blk").alias(into[0]), slot.cast("bigint").alias(into[1]), F.col("plc").cast("int").alias(into[2]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
