@@ -30,10 +30,11 @@ WORDS, PERCENT = 5, 80
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the classifier rejects; clean ones all stay."""
+    """Drops documents that the classifier rejects; clean ones, and those
+    without a word, all stay."""
     model = toxicity.train(docs, common.table(spark, sf_dir, "labels"))
     score, rejected = common.fresh(docs, "_score", "_rejected")
-    return toxicity.score(docs, model, (score, rejected)).where(F.col(rejected) == 0).select(*docs.columns)
+    return toxicity.score(docs, model, (score, rejected)).where((F.col(rejected) == 0) | ~F.coalesce("text", F.lit("")).rlike(r"(?U)\w")).select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
