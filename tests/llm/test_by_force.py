@@ -291,6 +291,22 @@ def test_components_in_rounds(spark, monkeypatch):
         assert {r.node: r.label for r in got.collect()} == {n: x for n, x in label.items() if n != x}
 
 
+@pytest.mark.parametrize("most", [7, 100, 5000])
+def test_slices(monkeypatch, most):
+    """Long texts in slices have the vectors and the sets of whole ones."""
+    rng = random.Random(most)
+    texts = ["".join(rng.choice("abc dé\n\t") for _ in range(rng.randint(0, 900))) for _ in range(20)] + ["x" * 300, " " * 300, "a  b", " " * 300 + "a b c d e f", ("a" + " " * 90) * 9, "one two three four five " * 20]
+    space = language_id.Space(64)
+    vectors, n = space.bundle(texts)
+    sets = [jaccard_join.shingle_sets(texts, k) for k in (4, 5)]
+    monkeypatch.setattr(language_id, "LONG", most)
+    monkeypatch.setattr(jaccard_join, "LONG", most)
+    again, m = space.bundle(texts)
+    assert (n == m).all() and np.allclose(vectors, again, atol=1e-3)
+    for k, own in zip((4, 5), sets):
+        assert all(np.array_equal(a, b) for a, b in zip(own, jaccard_join.shingle_sets(texts, k)))
+
+
 @pytest.mark.parametrize("words", [4, 5])
 def test_long_text_sets(words):
     """A text of 2 M characters: the set is that of its words one by one."""

@@ -22,12 +22,14 @@ rows.  So near copies don't multiply and no link between components is lost.
 
 Defined cases: null, empty and blank texts have no shingles and stand alone;
 rows with a null id have a null component and link nothing; rows that repeat
-an id are one document with all their links; an empty table gives no rows;
-other columns are ignored.
+an id are one document with all their links; a text of any length counts whole
+(its set is held by one worker, and to verify a candidate both texts'); an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -50,6 +52,8 @@ SKETCH, HELD = 2048, 1_500_000
 CROWD, BLOCK = 48, 4096
 #: Edges that one task contracts to a forest.
 TREE = 250_000
+#: Bytes of text that are hashed at once.
+LONG = 1 << 22
 
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 _BASE = 0x5851F42D4C957F2D
@@ -83,8 +87,38 @@ _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
 def shingle_sets(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each text."""
+    """Sorted distinct shingle hashes of each text; texts above LONG bytes are
+    hashed slice by slice."""
     raw = [t.encode("utf-8", "surrogatepass").lower() for t in texts]  # bytes: A-Z only
+    long = [i for i, r in enumerate(raw) if len(r) > LONG]
+    if not long:
+        return _hashed(raw, words)
+    out = _hashed([b"" if len(r) > LONG else r for r in raw], words)
+    for i in long:
+        out[i] = np.unique(np.concatenate([_hashed([part], words)[0] for part in _slices(raw[i], words)]))
+    return out
+
+
+def _slices(raw: bytes, words: int) -> Iterator[bytes]:
+    """Slices at white space, each with the next words - 1 words: every shingle
+    is in one, none is made up."""
+    following = re.compile(rb"[\t-\r ]*(?:[^\t-\r ]+[\t-\r ]*){%d}" % (words - 1))
+    at = 0
+    while at < len(raw):
+        gap = re.compile(rb"[\t-\r ]").search(raw, min(at + LONG, len(raw)))
+        cut = gap.start() if gap else len(raw)
+        if not raw[at:cut].strip(b" \t\n\v\f\r"):  # no word begins here
+            at = max(cut, at + 1)
+            continue
+        more = following.match(raw, cut)
+        if more is None or more.end() == len(raw):  # the last, with all that's left
+            yield raw[at:]
+            return
+        yield raw[at : more.end()]
+        at = cut
+
+
+def _hashed(raw: list[bytes], words: int) -> list[np.ndarray]:
     data = np.frombuffer(b" " + b" ".join(raw) + b" ", dtype=np.uint8)
     space = _SPACE[data]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1

@@ -11,7 +11,8 @@ product, counts x trigram vectors, so work per character is a few array steps.
 
 Defined cases: null texts and texts without letters are ``und`` with score 0;
 ties go to the language that sorts first; documents with null doc_id or null
-lang are never trained on; without training rows all are ``und``; an empty
+lang are never trained on; a text of any length counts whole, in slices of LONG
+characters; without training rows all are ``und``; an empty
 table gives no rows; other columns are ignored.
 """
 
@@ -28,6 +29,8 @@ from . import common
 
 #: Dimensions, and symbols (0 bounds words; letters beyond Latin share some).
 DIMENSIONS, SYMBOLS = 512, 128
+#: Characters that are bundled at once.
+LONG = 1 << 20
 UNDETERMINED = "und"
 
 _symbols: list[np.ndarray] = []
@@ -59,16 +62,31 @@ class Space:
         self.slot = np.zeros(SYMBOLS**3, dtype=np.int32)
 
     def bundle(self, texts: list[str], most_cells: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
-        """Vectors of texts, and how many letters each has."""
+        """Vectors of texts, and how many letters each has; texts above LONG
+        characters are bundled slice by slice."""
+        long = [i for i, t in enumerate(texts) if len(t) > LONG]
+        if not long:
+            return self._bundled(texts, most_cells)
+        out, n = self._bundled(["" if len(t) > LONG else t for t in texts], most_cells)
+        for i in long:
+            for a in range(0, len(texts[i]), LONG):
+                v, letters = self._bundled([texts[i][max(a - 1, 0) : a + LONG + 1]], most_cells, a > 0, a + LONG < len(texts[i]))
+                out[i] += v[0]
+                n[i] += letters[0]
+        return out, n
+
+    def _bundled(self, texts: list[str], most_cells: int, before: bool = False, after: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """before, after: the first, the last character is there as a neighbour only."""
         codes = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
         doc = np.repeat(np.arange(len(texts), dtype=np.int64), lengths + 1)[: len(codes)]
         sym = symbol_table()[codes]
-        n_letters = np.bincount(doc[sym > 0], minlength=len(texts))
         edge = np.zeros(1, dtype=np.uint32)
         sym = np.concatenate([edge, sym, edge])
         gram = (sym[:-2] * SYMBOLS + sym[1:-1]) * SYMBOLS + sym[2:]
         keep = np.flatnonzero(sym[1:-1])  # grams centred on a letter
+        keep = keep[(keep >= before) & (keep < len(codes) - after)]
+        n_letters = np.bincount(doc[keep], minlength=len(texts))
         gram, doc = gram[keep], doc[keep]
         seen = np.zeros(SYMBOLS**3, dtype=bool)
         seen[gram] = True

@@ -18,7 +18,8 @@ Decoding joins pieces, turns space marks into spaces and drops the first.
 Defined cases: null and empty texts have no pieces and one empty path; of
 equal scores the longer last piece wins; characters without a piece become
 byte pieces (or the unknown piece) below all others' scores; a text that holds
-the space mark itself decodes to spaces (round_trip false); null ids and
+the space mark itself decodes to spaces (round_trip false); a text of any length
+is segmented whole, one unit at a time; null ids and
 repeated rows are kept; an empty table gives no rows; other columns are kept
 by ``encode``'s caller or ignored.
 """
@@ -30,6 +31,7 @@ import gc
 import heapq
 import itertools
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -186,10 +188,9 @@ class Lattice:
     def nbest(self, unit: str, n: int) -> list[tuple[float, list[int]]]:
         """The unit's n best paths, best first: backward A-star with forward
         Viterbi scores, which are exact, as heuristics."""
-        forward, into = [0.0], [[]]
+        forward = array("d", [0.0])  # edges are made anew where the search comes by
         for end in range(1, len(unit) + 1):
-            into.append(self.edges(unit, end))
-            forward.append(max(forward[a] + s for a, s, _ in into[end]))
+            forward.append(max(forward[a] + s for a, s, _ in self.edges(unit, end)))
         tie, out = itertools.count(), []
         heap: list = [(-forward[-1], next(tie), len(unit), 0.0, None)]
         while heap and len(out) < n:
@@ -201,7 +202,7 @@ class Lattice:
                     tail = tail[1]
                 out.append((score, ids))
                 continue
-            for start, s, ids in into[at]:
+            for start, s, ids in self.edges(unit, at):
                 heapq.heappush(heap, (-(forward[start] + s + score), next(tie), start, s + score, (ids, tail)))
         return out
 
@@ -312,28 +313,31 @@ def encode(docs: DataFrame, path: str, best: int = BEST, with_ids: bool = False,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = _known.get(path) or _known.setdefault(path, Lattice(path))
-        gc.disable()  # the kept units are no garbage, and hold no cycles
         names = [f.split(" ")[0] for f in SCHEMA.split(", ")] + ["ids", "nbest_changes"] * with_ids + [*keep]
         types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.bool_()]
         changed = pa.list_(pa.list_(pa.struct([("place", pa.int64()), ("cut", pa.int64()), ("ids", pa.list_(pa.int64()))])))
-        for batch in batches:
-            for part in common.pieces(batch, "text", 2 << 20):
-                texts = common.texts_of(part)
-                keys = [keys_of(t) for t in texts]
-                lattice.learn(set().union(*keys))
-                out, best_ids, changes = [], [], []
-                for doc, text, own in zip(part.column("doc_id").to_pylist(), texts, keys):
-                    raw, paths, ways = combined(lattice, own, best)
-                    ids = np.frombuffer(raw, dtype=lattice.width)
-                    out.append((doc, len(ids), zlib.crc32(ids.astype("<u4")), paths[0][0], [s for s, _ in paths], [k for _, k in paths], decode(lattice, ids) == text))
+        gc.disable()  # the kept units are no garbage, and hold no cycles
+        try:
+            for batch in batches:
+                for part in common.pieces(batch, "text", 2 << 20):
+                    texts = common.texts_of(part)
+                    keys = [keys_of(t) for t in texts]
+                    lattice.learn(set().union(*keys))
+                    out, best_ids, changes = [], [], []
+                    for doc, text, own in zip(part.column("doc_id").to_pylist(), texts, keys):
+                        raw, paths, ways = combined(lattice, own, best)
+                        ids = np.frombuffer(raw, dtype=lattice.width)
+                        out.append((doc, len(ids), zlib.crc32(ids.astype("<u4")), paths[0][0], [s for s, _ in paths], [k for _, k in paths], decode(lattice, ids) == text))
+                        if with_ids:
+                            best_ids.append(ids)
+                            changes.append([[(place, cut, np.frombuffer(i, dtype=lattice.width).tolist()) for place, cut, i in way] for way in ways])
+                    columns = [pa.array(c, t) for c, t in zip(zip(*out), types)]
                     if with_ids:
-                        best_ids.append(ids)
-                        changes.append([[(place, cut, np.frombuffer(i, dtype=lattice.width).tolist()) for place, cut, i in way] for way in ways])
-                columns = [pa.array(c, t) for c, t in zip(zip(*out), types)]
-                if with_ids:
-                    cuts = np.cumsum([0, *map(len, best_ids)], dtype=np.int32)
-                    columns += [pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(best_ids).astype(np.int64))), pa.array(changes, changed)]
-                yield pa.RecordBatch.from_arrays([*columns, *(part.column(c) for c in keep)], names=names)
+                        cuts = np.cumsum([0, *map(len, best_ids)], dtype=np.int32)
+                        columns += [pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(best_ids).astype(np.int64))), pa.array(changes, changed)]
+                    yield pa.RecordBatch.from_arrays([*columns, *(part.column(c) for c in keep)], names=names)
+        finally:
+            gc.enable()
 
     return docs.select("doc_id", "text", *keep).mapInArrow(run, SCHEMA + IDS * with_ids + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in kept))
 

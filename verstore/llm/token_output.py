@@ -9,7 +9,8 @@ for all checkpoints of a block at once, restores them.
 
 Defined cases: a null or empty text is the end id alone; a null doc_id is kept
 and sorts first; rows that repeat a doc_id are kept, in the order of their
-token bytes; an empty table makes an empty file; other columns are ignored.
+token bytes; a text of any length is encoded whole, and is one block if it has
+more ids than a block; an empty table makes an empty file; other columns are ignored.
 """
 
 from __future__ import annotations
