@@ -95,7 +95,7 @@ def shingle_sets(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
         return _hashed(raw, words)
     out = _hashed([b"" if len(r) > LONG else r for r in raw], words)
     for i in long:
-        out[i] = np.unique(np.concatenate([_hashed([part], words)[0] for part in _slices(raw[i], words)]))
+        out[i] = np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *(_hashed([part], words)[0] for part in _slices(raw[i], words))]))
     return out
 
 
@@ -108,7 +108,7 @@ def _slices(raw: bytes, words: int) -> Iterator[bytes]:
         gap = re.compile(rb"[\t-\r ]").search(raw, min(at + LONG, len(raw)))
         cut = gap.start() if gap else len(raw)
         if not raw[at:cut].strip(b" \t\n\v\f\r"):  # no word begins here
-            at = max(cut, at + 1)
+            at = cut
             continue
         more = following.match(raw, cut)
         if more is None or more.end() == len(raw):  # the last, with all that's left
