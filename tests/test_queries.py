@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 from verstore.functions.checksum import combined
-from verstore.operators import replication, resolve
+from verstore.operators import conflicts, replication, resolve
 from verstore.plans import queries as core
 
 DATA = "/root/testdata/sf0.001"
@@ -60,3 +60,34 @@ def test_tombstones_and_empty_values(spark):
     assert {bytes(r.key) for r in resolve.live(resolve.as_of(log, 1)).collect()} == {b"", b"a", b"b\x00"}
     got = resolve.multi_get(log, spark.createDataFrame([(b"a",), (b"",), (b"q",)], "key binary"))
     assert {bytes(r.key): r.found for r in got.collect()} == {b"a": False, b"": True, b"q": False}
+
+
+@pytest.mark.parametrize("bucket", [1, 3, 64, 1 << 20])
+def test_buckets(spark, bucket):
+    """Ordinals, gaps and conflicts are the same however rows are dealt."""
+    numbers = [x * x % 301 for x in range(0, 300, 2)]
+    df = spark.createDataFrame([(n,) for n in numbers], "index bigint")
+    got = {r["index"]: r.n for r in resolve.dense_ordinal(df, "index", "n", bucket).collect()}
+    assert got == {x: i for i, x in enumerate(sorted(set(numbers)), 1)}
+    ordered = sorted(set(numbers))
+    got = {(r["index"], r.gap) for r in replication.gaps(df.distinct(), bucket).collect()}
+    assert got == {(b, b - a) for a, b in zip(ordered, ordered[1:]) if b - a != 1}
+    rows = [(t, f"k{t * 7 % 5}", max(0, t - t % 6), t + 1) for t in range(200)]
+    writes = [(t, k, s, c) for t, k, s, c in rows if t % 3]
+    got = {(r.tx, r.key) for r in conflicts._committed_between(*(spark.createDataFrame(x, "tx bigint, key string, snap bigint, cts bigint") for x in (rows, writes)), bucket).collect()}
+    assert got == {(t, k) for t, k, s, c in rows if any(o == k and s < w < c for _, o, _, w in writes)}
+
+
+def test_long_phantom_windows(spark):
+    """Transactions open over many commits, against all pairs."""
+    ops = [(t, t + 1, t - t * 13 % (t + 1), f"k{t * 11 % 40:02d}", t % 4 == 0) for t in range(150)]
+    ops += [(t, t + 1, s, f"k{(t * 11 + 9) % 40:02d}", True) for t, _, s, _, read in ops if read]
+    df = spark.createDataFrame(ops, "tx bigint, cts bigint, snap bigint, key string, is_read boolean")
+    want = {}
+    for t in {o[0] for o in ops if o[4]}:
+        keys = [o[3] for o in ops if o[0] == t and o[4]]
+        snap = next(o[2] for o in ops if o[0] == t)
+        for w in ops:
+            if not w[4] and snap < w[1] < t + 1 and min(keys) <= w[3] < max(keys) and not any(o[0] == t and o[3] == w[3] and not o[4] for o in ops):
+                want[t, w[3]] = max(want.get((t, w[3]), 0), w[1])
+    assert {(r.tx, r.key): r.cts for r in conflicts.phantom_conflicts(df).collect()} == want and len(want) > 20

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Commits of one key that a task looks at together.
-BUCKET = 4096
+BUCKET = 1 << 20
 
 
 def _committed_between(rows: DataFrame, writes: DataFrame, bucket: int = BUCKET) -> DataFrame:
@@ -18,7 +18,7 @@ def _committed_between(rows: DataFrame, writes: DataFrame, bucket: int = BUCKET)
     """
     none = F.lit(None).cast("bigint")
     mine = rows.select("tx", "key", "snap", "cts", none.alias("_wrote"))
-    theirs = writes.select(none.alias("tx"), "key", none.alias("snap"), "cts", F.col("cts").alias("_wrote")).distinct()
+    theirs = writes.select(none.alias("tx"), "key", none.alias("snap"), "cts", F.col("cts").alias("_wrote"))
     both = mine.unionByName(theirs).withColumn("_b", F.expr(f"cts div {bucket}"))
     ends = both.groupBy("key", "_b").agg(F.max("_wrote").alias("_end"))
     earlier = Window.partitionBy("key").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -30,12 +30,12 @@ def _committed_between(rows: DataFrame, writes: DataFrame, bucket: int = BUCKET)
 
 def write_conflicts(ops: DataFrame) -> DataFrame:
     writes = ops.where(~F.col("is_read"))
-    return _committed_between(writes.select("tx", "key", "snap", "cts").distinct(), writes).select("tx", "key").distinct()
+    return _committed_between(writes.select("tx", "key", "snap", "cts"), writes).select("tx", "key").distinct()
 
 
 def read_conflicts(ops: DataFrame) -> DataFrame:
     writes = ops.where(~F.col("is_read"))
-    reads = ops.where("is_read").select("tx", "key", "snap", "cts").distinct()
+    reads = ops.where("is_read").select("tx", "key", "snap", "cts")
     reads = reads.join(writes.select("tx", "key").distinct(), ["tx", "key"], "left_anti")
     return _committed_between(reads, writes).select("tx", "key").distinct()
 

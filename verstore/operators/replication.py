@@ -29,18 +29,15 @@ def shipped(local: DataFrame, request: DataFrame) -> DataFrame:
     return kept.drop("_at", "_last").unionByName(new.drop("_at", "_last"))
 
 
-def gaps(log: DataFrame, bucket: int = 4096) -> DataFrame:
+def gaps(log: DataFrame, bucket: int = 1 << 20) -> DataFrame:
     """Entries whose distance to the entry before isn't 1, with that distance.
 
-    Entries are looked at by buckets of the index, the buckets' ends by buckets
-    of these; the one window without a key sees a row for bucket x bucket.
+    Entries are looked at by buckets of the index, so that no task sorts more
+    than a bucket; the window without a key sees a row per bucket.
     """
     rows = log.select("index").withColumn("_b", F.expr(f"index div {bucket}"))
-    ends = rows.groupBy("_b").agg(F.max("index").alias("_end")).withColumn("_c", F.expr(f"_b div {bucket}"))
-    outer = ends.groupBy("_c").agg(F.max("_end").alias("_last"))
-    outer = outer.select("_c", F.lag("_last").over(Window.orderBy("_c")).alias("_outer"))
-    inner = F.lag("_end").over(Window.partitionBy("_c").orderBy("_b"))
-    ends = ends.withColumn("_inner", inner).join(outer, "_c").select("_b", F.coalesce("_inner", "_outer").alias("_before"))
+    ends = rows.groupBy("_b").agg(F.max("index").alias("_end"))
+    ends = ends.select("_b", F.lag("_end").over(Window.orderBy("_b")).alias("_before"))
     inside = F.lag("index").over(Window.partitionBy("_b").orderBy("index"))
     gap = F.col("index") - F.coalesce("_in", "_before")
     return rows.withColumn("_in", inside).join(ends, "_b").select("index", gap.alias("gap")).where("gap != 1")

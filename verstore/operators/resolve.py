@@ -50,19 +50,15 @@ def last_write_wins(ops: DataFrame) -> DataFrame:
     return ops.groupBy("tx", "key").agg(F.max_by(F.struct("value"), "seq").alias("v")).select("tx", "key", "v.value")
 
 
-def dense_ordinal(df: DataFrame, column: str, name: str, bucket: int = 4096) -> DataFrame:
+def dense_ordinal(df: DataFrame, column: str, name: str, bucket: int = 1 << 20) -> DataFrame:
     """df's distinct column values numbered from 1 in order, as a table.
 
-    Counted by buckets of the value and by buckets of these, and numbered
-    within each, so that no task sorts all values or all buckets: the one
-    window without a key sees a row for bucket x bucket values.
+    Counted by buckets of the value and numbered within each, so that no task
+    sorts more than a bucket; the window without a key sees a row per bucket.
     """
     values = df.select(column).distinct().withColumn("_b", F.expr(f"`{column}` div {bucket}"))
-    counts = values.groupBy("_b").count().withColumn("_c", F.expr(f"_b div {bucket}"))
-    outer = counts.groupBy("_c").agg(F.sum("count").alias("_all"))
-    outer = outer.select("_c", (F.sum("_all").over(Window.orderBy("_c")) - F.col("_all")).alias("_outer"))
-    running = F.sum("count").over(Window.partitionBy("_c").orderBy("_b")) - F.col("count")
-    before = counts.withColumn("_inner", running).join(outer, "_c").select("_b", (F.col("_outer") + F.col("_inner")).alias("_before"))
+    counts = values.groupBy("_b").count()
+    before = counts.select("_b", (F.sum("count").over(Window.orderBy("_b")) - F.col("count")).alias("_before"))
     inside = F.row_number().over(Window.partitionBy("_b").orderBy(column))
     return values.withColumn("_n", inside).join(before, "_b").select(column, (F.col("_n") + F.col("_before")).alias(name))
 
