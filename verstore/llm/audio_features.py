@@ -204,4 +204,7 @@ def described(kept: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return described(stored_tensors(store(common.table(spark, sf_dir, "documents"))))
+    media = store(common.table(spark, sf_dir, "documents"))
+    kept = stored_tensors(media)
+    common.discard(media)
+    return described(kept)

@@ -62,7 +62,18 @@ def stored(df: DataFrame, compression: str = "zstd") -> DataFrame:
     that lost executors cost a re-read, not a recomputation."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what ``stored`` wrote, once nothing will read it again."""
+    for t in tables:
+        if path := getattr(t, "_stored_at", None):
+            jvm, conf = t.sparkSession._jvm, t.sparkSession._jsparkSession.sessionState().newHadoopConf()
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
 
 
 def pieces(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:

@@ -380,7 +380,9 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int = WORDS, percent: int
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     both = pairs.join(left, "a").join(right, "b")
-    return common.stored(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint"))
+    out = common.stored(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint"))
+    common.discard(pairs, texts)
+    return out
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -418,13 +420,16 @@ def components(edges: DataFrame) -> DataFrame:
         return common.stored(forest.select(F.col("a").alias("node"), F.col("b").alias("label")))
     both = common.stored(forest.unionAll(forest.select("b", "a")).distinct())
     labels = common.stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
+    last = labels
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
         step = common.stored(step.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("far", "label")).alias("label")))
-        labels = step.select("node", "label")
+        common.discard(last)
+        last, labels = step, step.select("node", "label")
         if step.where("old != label").isEmpty():
+            common.discard(both)
             return labels.where("node != label")
 
 
@@ -464,7 +469,9 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     groups = unsettled(shared, components(edges))
     if not groups.where(crowds).isEmpty():  # the nearest ones first
         edges = edges.unionByName(verified(docs, crowded(rows, groups.where(crowds), True, percent), words, percent))
+        common.discard(groups)
         groups = unsettled(shared, components(edges))
+    common.discard(shared)
     few = groups.where(~crowds)
     probing = few.where("role >= 2").select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
     indexed = few.where("role % 2 = 1").select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
@@ -473,6 +480,7 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     if not groups.where(crowds).isEmpty():
         rest = rest.unionByName(crowded(rows, groups.where(crowds), percent=percent)).distinct()
     edges = edges.unionByName(verified(docs, rest, words, percent))
+    common.discard(groups)
     # a set signs under any of its copies' ids: tie them to the class
     signers = edges.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     ties = known.join(signers, "doc_id", "left_semi").join(classes.where("copies > 1").select(*mark, "rep"), mark).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
