@@ -93,5 +93,7 @@ STAGES = [("toxicity", toxic), ("jaccard_join", near_copies), ("secret_scan", se
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = common.stored(stage(spark, docs, sf_dir))
+        done = common.stored(stage(spark, docs, sf_dir))
+        common.discard(docs)
+        docs = done
     return docs
