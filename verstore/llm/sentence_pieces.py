@@ -1,6 +1,7 @@
 """Operator 7, SentencePiece encoding and decoding with N-best segmentation.
 
-A text's pieces form a lattice; its best path maximises the sum of scores.
+A text's pieces form a lattice; its best path maximises the sum of scores (of a
+byte-pair model, of the likelihoods that its ranks stand for).
 Forward Viterbi scores give, for any place, the exact score of the best way
 from the start: as heuristics they let a backward A-star search pop complete
 paths in order of score.
@@ -43,6 +44,20 @@ from . import common
 MARK = "▁"
 #: Paths per text; units a worker keeps; longest unit that is worked on in batches.
 BEST, CACHED, SHORT = 3, 400_000, 48
+#: What is added to ranks in Zipf's law; from where on a score is no rank.
+ZIPF, UNRANKED = 100, 1e8
+
+
+def likelihoods(scores: np.ndarray, plain: list[int]) -> np.ndarray:
+    """Log likelihoods of pieces.  A byte-pair model's scores are its pieces'
+    ranks, which add up to nothing; by Zipf's law these give likelihoods, here
+    in steps of 2^-16, so that sums are exact.  Its characters that no merge
+    made come far behind all ranks, and do so here."""
+    ranks = np.sort(-scores[plain])
+    ranks = ranks[ranks < UNRANKED]
+    if (ranks % 1 != 0).any() or (ranks < 0).any() or (np.diff(ranks) == 0).any():
+        return scores
+    return np.round(-np.log(ZIPF + np.maximum(-scores, 0)) * 65536) / 65536
 
 
 class Lattice:
@@ -57,7 +72,7 @@ class Lattice:
         self.id = {model.id_to_piece(i): i for i in plain}
         if any(MARK in p.lstrip(MARK) or "\n" in p for p in self.id):
             raise ValueError("a piece crosses units")
-        self.score = np.array([model.get_score(i) for i in range(n)], dtype=np.float64)
+        self.score = likelihoods(np.array([model.get_score(i) for i in range(n)], dtype=np.float64), plain)
         self.scored = np.append(self.score, -np.inf)
         self.unknown_id, self.bytes = model.unk_id(), {}
         for i in range(n):
