@@ -28,3 +28,8 @@ def gc_removable(log: DataFrame, floor: int) -> DataFrame:
     """Versions per key whose successor is already visible at the floor."""
     after = F.lead("commit_ts").over(Window.partitionBy("key").orderBy("commit_ts"))
     return log.select("key", after.alias("after")).where(F.col("after") <= floor).groupBy("key").agg(F.count(F.lit(1)).alias("removable"))
+
+
+def max_tx_id(ops: DataFrame) -> DataFrame:
+    """The greatest transaction id of a log, committed or not; 0 without any."""
+    return ops.agg(F.coalesce(F.max("tx"), F.lit(0).cast("bigint")).alias("tx_id"))

@@ -21,9 +21,10 @@ def divergence(local: DataFrame, request: DataFrame) -> DataFrame:
 
 def shipped(local: DataFrame, request: DataFrame) -> DataFrame:
     """The follower's log after the request: its prefix and what it lacks."""
-    at = divergence(local, request).select(F.col("index").alias("_at"))
-    last = local.agg(F.max("index").alias("_last"))
-    marks = F.broadcast(at.crossJoin(last))  # one row
+    none = F.lit(None).cast("bigint")
+    at = divergence(local, request).select(F.col("index").alias("_at"), none.alias("_last"))
+    both = at.unionByName(local.agg(F.max("index").alias("_last")).select(none.alias("_at"), "_last"))
+    marks = F.broadcast(both.agg(F.max("_at").alias("_at"), F.max("_last").alias("_last")))  # one row
     kept = local.join(marks, F.coalesce(F.col("index") < F.col("_at"), F.lit(True)))
     new = request.join(marks, F.col("index") >= F.coalesce("_at", F.col("_last") + 1, F.lit(0)))
     return kept.drop("_at", "_last").unionByName(new.drop("_at", "_last"))

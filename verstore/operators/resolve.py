@@ -16,6 +16,11 @@ def newest(log: DataFrame, *also: str, order: str | Column = "commit_ts") -> Dat
     return log.groupBy("key").agg(best.alias("v")).select("key", "v.*")
 
 
+def newest_ts(log: DataFrame) -> DataFrame:
+    """key and the commit_ts of its newest version, tombstone or not."""
+    return log.groupBy("key").agg(F.max("commit_ts").alias("commit_ts"))
+
+
 def live(resolved: DataFrame) -> DataFrame:
     """Drops tombstones; applied after resolution, never before."""
     return resolved.where(F.col("value").isNotNull())

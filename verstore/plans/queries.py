@@ -72,6 +72,16 @@ def tombstones(spark, sf_dir):
     return resolve.newest(_log(spark, sf_dir)).where("value IS NULL").select("key", "commit_ts")
 
 
+@query(f"SELECT key, max(commit_ts) AS commit_ts FROM {LOG} GROUP BY key")
+def newest_ts(spark, sf_dir):
+    return resolve.newest_ts(_log(spark, sf_dir))
+
+
+@query(f"SELECT coalesce(max(tx), 0) AS tx_id FROM {OPS}")
+def max_tx_id(spark, sf_dir):
+    return maintenance.max_tx_id(_ops(spark, sf_dir))
+
+
 @query(f"SELECT tx, key, value FROM (SELECT tx, key, value, row_number() OVER (PARTITION BY tx, key ORDER BY seq DESC) AS n FROM {OPS} WHERE NOT is_read) WHERE n = 1")
 def batch_last_wins(spark, sf_dir):
     return resolve.last_write_wins(_ops(spark, sf_dir).where(~F.col("is_read")))

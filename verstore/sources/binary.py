@@ -296,6 +296,11 @@ def _decoded(spark: SparkSession, paths: str | list[str], decode: Callable[[byte
     return spark.read.format("binaryFile").load(paths).select("path", "content").mapInArrow(run, schema)
 
 
+def raw_bytes(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """file and content: whole files as they are."""
+    return spark.read.format("binaryFile").load(paths).select(F.col("path").alias("file"), "content")
+
+
 def wal(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """The records of write-ahead logs; position is a frame's byte in its file."""
     return _decoded(spark, paths, lambda data: ((at, *decode_record(p)) for at, p in frames(data, WAL_MAGIC)), WAL_SCHEMA)

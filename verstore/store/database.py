@@ -8,6 +8,7 @@ corruption.
 
 from __future__ import annotations
 
+import heapq
 import os
 import shutil
 import threading
@@ -72,7 +73,12 @@ class Transaction:
         return out
 
     def iter_range(self, start: bytes, end: bytes) -> Iterator[tuple[bytes, bytes]]:
-        return iter(self.get_range(start, end))
+        """As get_range, a row at a time, with the writes made up to this call."""
+        self.ranges.append((start, end))
+        own = dict(sorted((k, v) for k, v in self.writes.items() if start <= k < end))
+        found = ((k, v) for k, v in self.db._range(start, end, self.snapshot) if k not in own)
+        rows = heapq.merge(found, own.items(), key=lambda kv: kv[0])
+        return ((k, v) for k, v in rows if v is not None and not self.read_keys.add(k))
 
     def commit(self) -> int | None:
         """The commit's ts; a second call changes nothing."""
@@ -272,8 +278,13 @@ class Database:
         name = f"{kind}/l{level}-{uuid.uuid4().hex}"
         full = os.path.join(self.path, name)
         rows.select("key", "value", "commit_ts", "tx_id").repartitionByRange("key").sortWithinPartitions("key").write.option("compression", "zstd").option("parquet.bloom.filter.enabled#key", "true").parquet(full)
-        got = self.spark.read.schema(SCHEMA).parquet(full).agg(F.count(F.lit(1)), F.min("key"), F.max("key"), F.min("commit_ts"), F.max("commit_ts")).first()
-        return (mf.File(name, kind, level, got[0], bytes(got[1]).hex(), bytes(got[2]).hex(), got[3], got[4]),) if got[0] else ()
+        found = self.entry(name, kind, level)
+        return (found,) if found else ()
+
+    def entry(self, name: str, kind: str, level: int) -> mf.File | None:
+        """What a manifest lists of a folder, from its rows; None without any."""
+        got = self.spark.read.schema(SCHEMA).parquet(os.path.join(self.path, name)).agg(F.count(F.lit(1)), F.min("key"), F.max("key"), F.min("commit_ts"), F.max("commit_ts")).first()
+        return mf.File(name, kind, level, got[0], bytes(got[1]).hex(), bytes(got[2]).hex(), got[3], got[4]) if got[0] else None
 
     # maintenance
 
