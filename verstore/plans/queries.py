@@ -157,10 +157,10 @@ _CHECKPOINTS = "(SELECT count(DISTINCT (event_id) // 100) FROM events)"
             CASE WHEN l0 < 4 OR l1 < 1 OR l2 < 4 THEN l3 WHEN l3 = 16 THEN 0 ELSE l3 + 1 END,
             CASE WHEN l0 < 4 OR l1 < 1 OR l2 < 4 OR l3 < 16 THEN l4 ELSE l4 + 1 END
         FROM apart WHERE n < {_CHECKPOINTS}),
-    over(n, l0, l1) AS (SELECT 0, 0, 0 UNION ALL SELECT n + 1, CASE WHEN l0 = 4 THEN 0 ELSE l0 + 1 END, CASE WHEN l0 = 4 THEN 1 ELSE l1 END FROM over WHERE n < {_CHECKPOINTS}),
-    rows AS (SELECT 'apart' AS keys, unnest([0, 1, 2, 3, 4]) AS level, unnest([l0, l1, l2, l3, l4]) AS segments FROM apart WHERE n = {_CHECKPOINTS}
-        UNION ALL SELECT 'overlapping', unnest([0, 1]), unnest([l0, l1]) FROM over WHERE n = {_CHECKPOINTS})
-    SELECT keys, CAST(level AS BIGINT) AS level, CAST(segments AS BIGINT) AS segments FROM rows WHERE segments > 0"""
+    stacked(n, l0, l1) AS (SELECT 0, 0, 0 UNION ALL SELECT n + 1, CASE WHEN l0 = 4 THEN 0 ELSE l0 + 1 END, CASE WHEN l0 = 4 THEN 1 ELSE l1 END FROM stacked WHERE n < {_CHECKPOINTS}),
+    counted AS (SELECT 'apart' AS keys, unnest([0, 1, 2, 3, 4]) AS level, unnest([l0, l1, l2, l3, l4]) AS segments FROM apart WHERE n = {_CHECKPOINTS}
+        UNION ALL SELECT 'overlapping', unnest([0, 1]), unnest([l0, l1]) FROM stacked WHERE n = {_CHECKPOINTS})
+    SELECT keys, CAST(level AS BIGINT) AS level, CAST(segments AS BIGINT) AS segments FROM counted WHERE segments > 0"""
 )
 def level_counts(spark, sf_dir):
     """Segments per level after a checkpoint per 100 commits, as the store's own
