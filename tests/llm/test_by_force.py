@@ -315,3 +315,17 @@ def test_long_text_sets(words):
     got = jaccard_join.shingle_sets([text], words)[0]
     w = text.lower().split()
     assert len(got) == len(set(zip(*(w[k:] for k in range(words))))) == len(jaccard_join.exact_set(text, words))
+
+
+def test_links_in_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    want = {r[0]: r[1:] for r in con.execute(jaccard_join.oracle()).fetchall()}
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.query(spark, DATA).collect()} == want
+    assert any(i != c for i, (_, c) in want.items())
+    con = duckdb.connect()
+    texts = [(1, None), (2, ""), (3, "a b"), (4, "A\tb "), (5, "a b c d e"), (6, "a b c d e"), (7, "a b c")]
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", texts)
+    want = {r[0]: r[1:] for r in con.execute(jaccard_join.oracle()).fetchall()}
+    assert want == {1: (0, 1), 2: (0, 2), 3: (1, 3), 4: (1, 3), 5: (2, 5), 6: (2, 5), 7: (1, 7)}

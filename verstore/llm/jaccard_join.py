@@ -491,3 +491,20 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(common.table(spark, sf_dir, "documents"))
+
+
+def oracle() -> str:
+    """SQL for small tables: all pairs that share a shingle, then all labels
+    that reach a document."""
+    words = "list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+    ahead = ", ".join(f"lead(word, {k}) OVER following" for k in range(1, WORDS))
+    return f"""WITH RECURSIVE split AS (SELECT doc_id, {words} AS words FROM documents),
+    places AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS place FROM split),
+    grams AS (SELECT doc_id, concat_ws(' ', word, {ahead}) AS shingle, lead(word, {WORDS - 1}) OVER following IS NOT NULL AS whole
+        FROM places WINDOW following AS (PARTITION BY doc_id ORDER BY place)),
+    shingles AS (SELECT DISTINCT doc_id, shingle FROM grams WHERE whole UNION ALL SELECT doc_id, array_to_string(words, ' ') FROM split WHERE len(words) BETWEEN 1 AND {WORDS - 1}),
+    sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+    paired AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+    links AS (SELECT a, b FROM paired JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * shared >= {PERCENT} * (x.n + y.n - shared)),
+    reached AS (SELECT doc_id AS node, doc_id AS label FROM documents UNION SELECT links.b, reached.label FROM reached JOIN links ON links.a = reached.node)
+    SELECT node AS doc_id, coalesce(any_value(n), 0) AS n_shingles, min(label) AS component_id FROM reached LEFT JOIN sizes ON sizes.doc_id = node GROUP BY node"""

@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op5_license_scan": license_scan.oracle()}
+    return {"op5_license_scan": license_scan.oracle(), "op10_jaccard_join": jaccard_join.oracle()}
