@@ -1,6 +1,7 @@
 """Operators against plain versions of the same definitions."""
 
 import math
+import os
 import random
 import re
 import zlib
@@ -329,3 +330,19 @@ def test_links_in_sql(spark):
     con.executemany("INSERT INTO documents VALUES (?, ?)", texts)
     want = {r[0]: r[1:] for r in con.execute(jaccard_join.oracle()).fetchall()}
     assert want == {1: (0, 1), 2: (0, 2), 3: (1, 3), 4: (1, 3), 5: (2, 5), 6: (2, 5), 7: (1, 7)}
+
+
+COMMON = "/usr/share/common-licenses"
+
+
+@pytest.mark.skipif(not os.path.isdir(COMMON), reason="this system keeps no common licenses")
+def test_common_licenses(spark):
+    """The long texts' digests, where a system keeps the texts: by themselves,
+    and as documents set in one line and in another case."""
+    names = {"Artistic": "Artistic-1.0-Perl", **{f"{k}-{v}": f"{k}-{v}.0" for k in ("GPL",) for v in (1, 2, 3)}, "LGPL-2": "LGPL-2.0", "LGPL-3": "LGPL-3.0"}
+    files = [n for n in sorted(os.listdir(COMMON)) if names.get(n, n) in license_scan.DIGESTS and not os.path.islink(f"{COMMON}/{n}")]
+    got = {r.file: r.digest for r in license_scan.digests_of(spark, [f"{COMMON}/{n}" for n in files]).collect()}
+    assert got == {n: license_scan.DIGESTS[names.get(n, n)] for n in files} and len(files) >= 8
+    texts = [(i, open(f"{COMMON}/{n}", encoding="utf-8").read().replace("\n", "\r\n") + "\n\n") for i, n in enumerate(files)]  # noqa: SIM115
+    found = {r.doc_id: r.license_id for r in license_scan.scan(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()}
+    assert found == {i: names.get(n, n) for i, n in enumerate(files)}
