@@ -188,6 +188,20 @@ def test_schedule_of_the_table(spark):
     assert all(r.blk == 1 and r.row == 2 and r.p_at == 3 for r in rows)
 
 
+def test_blocks_grow(spark, monkeypatch):
+    """Large tables are dealt in larger blocks, with the same bound."""
+    monkeypatch.setattr(mixing, "BLOCKS", 50)
+    docs = spark.range(4000).selectExpr("id AS doc_id", "CASE WHEN id % 4 < 3 THEN 'a' ELSE 'b' END AS source")
+    rows = mixing.schedule(docs).orderBy("slot", "place").collect()
+    assert max(r.place for r in rows) == 79 and len({r.doc_id for r in rows}) == 4000 and len({r.slot for r in rows}) == 51
+    exact = 1000**0.5 / (1000**0.5 + 3000**0.5)
+    first = {r.slot: r.source for r in rows}
+    had = 0
+    for t in range(1, 31):  # before the smaller one ends
+        had += first[t - 1] == "b"
+        assert abs(had - exact * t) < 1
+
+
 def test_all_segmentations(spark):
     """Every way through the lattice, enumerated."""
     path = public_tokenizers.path("piece_bpe_32k.model")

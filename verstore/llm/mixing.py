@@ -6,9 +6,11 @@ earliest-deadline-first gives every slot to a released block: after any t
 slots each source has had w*t blocks, off by less than one.
 
 Weights are taken as exact fractions and never rounded, so the bound holds over
-a whole phase.  The driver takes one step per block (rows / BLOCK) and keeps 8
-bytes for each; sources are as few as fit there with a row each.  When a source ends, the others' weights are scaled up and a
-new phase begins; so all rows are scheduled, each once.
+a whole phase.  The driver takes one step per block and keeps 8 bytes for each;
+from BLOCK x BLOCKS rows on blocks grow with the table, so that these stay at
+BLOCKS or so.  Sources are as few as fit there with a row each.  When a source
+ends, the others' weights are scaled up and a new phase begins; so all rows are
+scheduled, each once.
 
 A row's number within its source comes from its hash (of all columns, so that
 rows without an id are spread too): counted by (source, hash range), summed up
@@ -39,6 +41,8 @@ from . import common
 
 #: Documents per block; slots per period of whole-slot weights; flattening of shares; rows per hash range; blocks per row of the schedule.
 BLOCK, PERIOD, TEMPERATURE, RANGE_ROWS, CHUNK = 16, 1024, 0.5, 1024, 1024
+#: Blocks of one schedule, at most (and one more per source): beyond BLOCK x BLOCKS rows blocks grow.
+BLOCKS = 1 << 22
 
 
 def quantised(weights: dict, period: int) -> dict:
@@ -111,13 +115,14 @@ def block_slots(blocks: dict, weights: dict) -> dict:
     return out
 
 
-def schedule(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, into: tuple[str, str, str] = ("block", "slot", "place")) -> DataFrame:
+def schedule(docs: DataFrame, weights: dict | None = None, block: int | None = None, into: tuple[str, str, str] = ("block", "slot", "place")) -> DataFrame:
     """docs with block (in its source), slot and place in the slot, in columns
     that replace any of the same names."""
     docs = docs.drop(*into)
     spark = docs.sparkSession
     sizes = {r[0]: r[1] for r in docs.groupBy("source").count().collect()}  # one row per source
     total = sum(sizes.values())
+    block = block or max(BLOCK, -(-total // BLOCKS))
     if weights is None:
         weights = {s: (n / total) ** TEMPERATURE for s, n in sizes.items()}
     low = min([w for w in weights.values() if w > 0], default=1.0)
