@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -321,3 +322,24 @@ def test_jaccard_by_five_words(spark):
                 low, high = sorted((label[i], label[j]))
                 label = [low if x == high else x for x in label]
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: (len(a), label[i]) for i, a in enumerate(sets)}
+
+
+def test_units_kept_are_few():
+    """A worker keeps two generations, whose frequent units stay, and works on a bounded part at once."""
+    lattice = sentence_pieces.Lattice(public_tokenizers.path("piece_bpe_32k.model"))
+    real, sizes, worked = lattice.best, [], Counter()
+
+    def best(units):
+        sizes.append(len(units) * max(map(len, units)))
+        worked.update(units)
+        return real(units)
+
+    lattice.best = best
+    for a in range(0, 140_000, 7_000):
+        keys = {f"u{k}" for k in range(a, a + 7_000)} | {"often", "x" * 40}
+        lattice.learn(keys)
+        assert keys <= lattice.found.keys()
+    assert len(lattice.found) + len(lattice.older) <= 100_000
+    assert worked[sentence_pieces.unit_of("often")] == 1
+    assert max(sizes) <= 1 << 15
+    assert lattice.found["often"] == real([sentence_pieces.unit_of("often")])[0]

@@ -47,13 +47,13 @@ PERCENT = 85
 #: Ids sent to every executor at once, at most; beyond that they are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 #: Bits of a set's parity sketch; shingles gathered before they are signed.
-SKETCH, HELD = 2048, 1_500_000
+SKETCH, HELD = 2048, 500_000
 #: Sets from which a key counts as crowded; sets per block of sketches there.
 CROWD, BLOCK = 48, 4096
 #: Edges that one task contracts to a forest.
 TREE = 250_000
-#: Bytes of text that are hashed at once.
-LONG = 1 << 22
+#: Bytes of texts that are hashed at once; of one text, at most.
+PART, LONG = 1 << 18, 1 << 22
 
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 _BASE = 0x5851F42D4C957F2D
@@ -72,7 +72,7 @@ def powers(base: int, n: int) -> np.ndarray:
     """base^0 .. base^(n-1) modulo 2^64."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = 1 << max(20, int(n - 1).bit_length())
+        size = 1 << max(16, int(n - 1).bit_length())
         have = np.ones(size, dtype=np.uint64)
         done = 1
         while done < size:
@@ -254,7 +254,7 @@ def parity(s: np.ndarray) -> bytes:
 def _described(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     signed = lambda v: pa.array(np.array(v, dtype=np.uint64).view(np.int64))
     for batch in batches:
-        for part in common.pieces(batch, "text", 1 << 20):
+        for part in common.pieces(batch, "text", PART):
             sets = shingle_sets(common.texts_of(part), words)
             marks = [digest(s) for s in sets]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), signed([a for a, _ in marks]), signed([b for _, b in marks]), pa.array([parity(s) for s in sets], pa.binary())], names=["doc_id", "n_shingles", "one", "two", "sketch"])
@@ -282,7 +282,7 @@ def _signed(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iter
         docs, sets, held = [], [], 0
 
     for batch in batches:
-        for part in common.pieces(batch, "text", 1 << 20):
+        for part in common.pieces(batch, "text", PART):
             for doc, s in zip(part.column("doc_id").to_pylist(), shingle_sets(common.texts_of(part), words)):
                 if doc is None or not len(s) or (mark := (len(s), *digest(s))) in seen:
                     continue

@@ -42,8 +42,10 @@ from pyspark.sql import DataFrame, SparkSession
 from . import common
 
 MARK = "▁"
-#: Paths per text; units a worker keeps; longest unit that is worked on in batches.
-BEST, CACHED, SHORT = 3, 400_000, 48
+#: Paths per text; longest unit that is worked on in batches; characters of these at once, with padding.
+BEST, SHORT, CELLS = 3, 48, 1 << 15
+#: Units of a generation; a worker keeps two of these.
+CACHED = 50_000
 #: What is added to ranks in Zipf's law; from where on a score is no rank.
 ZIPF, UNRANKED = 100, 1e8
 
@@ -99,10 +101,12 @@ class Lattice:
             raise ValueError("two pieces have one hash")
         # hash -> position: a table by the upper bits, then the few beside it
         self.bits = np.uint64(44)
-        self.slot = np.searchsorted(self.keys, np.arange(1 << 20, dtype=np.uint64) << self.bits)
+        self.slot = np.searchsorted(self.keys, np.arange(1 << 20, dtype=np.uint64) << self.bits).astype(np.int32)
         self.reach = int(np.diff(np.append(self.slot, len(self.keys))).max())
+        # what is known of units: this generation's, and the one's before
         self.found: dict[str, tuple] = {}
-        self.paths: dict[str, list] = {}
+        self.older: dict[str, tuple] = {}
+        self.paths: dict[tuple[str, int], list] = {}
 
     def _hash(self, numbers: np.ndarray) -> int:
         h = 0
@@ -226,16 +230,21 @@ class Lattice:
         return np.array(paths[0][1], dtype=self.width).tobytes(), paths[0][0], paths[0][0] - paths[1][0] if len(paths) > 1 else np.inf
 
     def learn(self, keys: set[str]) -> None:
-        """Finds the keys' best paths."""
+        """Finds the keys' best paths.  A full generation becomes the older one,
+        from which units in use come back; so frequent ones stay."""
+        if len(self.found) + len(keys - self.found.keys()) > CACHED:
+            self.older, self.found = self.found, {}
         new = keys - self.found.keys()
-        if len(self.found) + len(new) > CACHED:
-            self.found.clear()
-            new = keys
-        units = sorted(((unit_of(k), k) for k in new), key=lambda u: len(u[0]))
+        again = new & self.older.keys()
+        self.found.update((k, self.older[k]) for k in again)
+        units = sorted(((unit_of(k), k) for k in new - again), key=lambda u: len(u[0]))
         short = bisect.bisect_right(units, SHORT, key=lambda u: len(u[0]))
-        for a in range(0, short, 4096):
-            part = units[a : min(short, a + 4096)]
-            self.found.update(zip([k for _, k in part], self.best([u for u, _ in part])))
+        a = 0
+        while a < short:  # a part's last unit is its longest
+            b = min(short, a + CELLS // len(units[a][0]))
+            b = a + max(1, min(b - a, CELLS // len(units[b - 1][0])))
+            self.found.update(zip([k for _, k in units[a:b]], self.best([u for u, _ in units[a:b]])))
+            a = b
         for u, k in units[short:]:
             self.found[k] = self.long(u)
 
@@ -286,7 +295,7 @@ def combined(lattice: Lattice, keys: list[str], n: int) -> tuple[bytes, list[tup
     for at in near:
         paths = lattice.paths.get((keys[at], n))
         if paths is None:
-            if len(lattice.paths) >= CACHED:
+            if len(lattice.paths) >= CACHED // 4:
                 lattice.paths.clear()
             paths = [(s, np.array(i, dtype=lattice.width).tobytes()) for s, i in lattice.nbest(unit_of(keys[at]), n)]
             # of equal ones, the path that the batch search calls best comes first
